@@ -1,10 +1,15 @@
 """The corpus queries by name, and SQL for those that SQL can express."""
 
+from keystrata.llm.ann import op10_ann
+from keystrata.llm.decontam import op9_decontamination
+from keystrata.llm.langid import op5_language_id
+from keystrata.llm.sharding import op7_sharding
 from keystrata.llm.simhash import op1_simhash
+from keystrata.llm.warc import op6_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op5_language_id, op6_warc, op7_sharding, op9_decontamination, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -75,3 +75,32 @@ def read_flat(spark: SparkSession, path: str) -> DataFrame:
 
 def arrow_strings(values: list) -> pa.Array:
     return pa.array(values, pa.string())
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, for what is costly to load."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_keystrata_worker", types.ModuleType("_keystrata_worker")).__dict__
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each run, one run after the other."""
+    total = np.cumsum(sizes)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(starts - (total - sizes), sizes)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """The bytes of ``a``, all lowest ones first, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
+
+def unpack(b: bytes, kind: str) -> np.ndarray:
+    """What ``pack`` was given, of the numpy type ``kind``."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
