@@ -260,5 +260,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents in which any benchmark window occurs go; of rows with one doc_id, all go if any is hit. A row whose doc_id is null goes only with its own kind."""
-    hit = contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    hit = contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("__ks_hit")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__ks_hit"]), "left_anti")

@@ -167,5 +167,5 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
 
 def drop_rejected(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go, those without a letter among them."""
-    named = docs.withColumn("_p", identify(F.col("text"), trained_on(docs)))
-    return named.where(~F.col("_p.rejected")).drop("_p")
+    named = docs.withColumn("__ks_lang", identify(F.col("text"), trained_on(docs)))
+    return named.where(~F.col("__ks_lang.rejected")).drop("__ks_lang")

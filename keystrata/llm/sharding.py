@@ -51,15 +51,15 @@ def place(rows: DataFrame, key: str, shards: int, grow: int = 1) -> DataFrame:
     """
     whole = isinstance(rows.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     hashed = F.col(key) if whole else F.when(F.col(key).isNotNull(), F.xxhash64(key))
-    named = rows.withColumns({"shard": shard_of(hashed, shards), "grown_shard": shard_of(hashed, shards + grow), "_tie": F.monotonically_increasing_id()})
-    order = ["shard", key, "_tie"]
-    sorted_ = named.repartitionByRange(session_partitions(rows.sparkSession), *order).sortWithinPartitions(*order).drop("_tie")
-    kept = stored(sorted_.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "shards")
-    runs = kept.groupBy("shard", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("shard", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    named = rows.withColumns({"shard": shard_of(hashed, shards), "grown_shard": shard_of(hashed, shards + grow), "__ks_tie": F.monotonically_increasing_id()})
+    order = ["shard", key, "__ks_tie"]
+    sorted_ = named.repartitionByRange(session_partitions(rows.sparkSession), *order).sortWithinPartitions(*order).drop("__ks_tie")
+    kept = stored(sorted_.withColumns({"__ks_part": F.spark_partition_id(), "__ks_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "shards")
+    runs = kept.groupBy("shard", "__ks_part").agg(F.min("__ks_at").alias("__ks_first"), F.count("*").alias("__ks_n"))
+    before = Window.partitionBy("shard").orderBy("__ks_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("shard", "__ks_part", (F.coalesce(F.sum("__ks_n").over(before), F.lit(0)) - F.col("__ks_first")).alias("__ks_shift"))
     # at most partitions + shards rows
-    return kept.join(F.broadcast(runs), ["shard", "_part"]).withColumn("slot", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+    return kept.join(F.broadcast(runs), ["shard", "__ks_part"]).withColumn("slot", F.col("__ks_at") + F.col("__ks_shift")).drop("__ks_part", "__ks_at", "__ks_shift")
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
