@@ -59,13 +59,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = end
 
 
-def write_flat(df: DataFrame, column: str, path: str, end: str) -> None:
-    """Writes the binary ``column`` as plain files: every value's bytes followed by ``end``, in the rows' order; one file a partition.
+def write_flat(df: DataFrame, column: str, path: str, end: str, most: int = 0) -> None:
+    """Writes the binary ``column`` as plain files: every value's bytes followed by ``end``, in the rows' order; a file a partition, or for each ``most`` rows of it.
 
     Spark's text sink puts the bytes of a string out unchanged, whatever they are, so this reaches any
     store that Spark reaches.
     """
-    df.select(F.col(column).cast("string").alias("value")).write.option("lineSep", end).text(path)
+    df.select(F.col(column).cast("string").alias("value")).write.option("lineSep", end).option("maxRecordsPerFile", most).text(path)
 
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.shared import read_flat, scratch, stored, write_flat
 
-#: Payloads of at least so many bytes are stored once. Archive bytes of a file, index entries of a range and sampled keys, about.
-DEDUP_BYTES, FILE_BYTES, RANGE_ENTRIES, SAMPLE = 1000, 16 << 20, 50_000, 4000
+#: Payloads of at least so many bytes are stored once. Records of a file at most; index entries of a range and sampled keys, about.
+DEDUP_BYTES, FILE_RECORDS, RANGE_ENTRIES, SAMPLE = 1000, 2000, 50_000, 4000
 #: Version line and media types of the records.
 VERSION, RESPONSE_TYPE = "WARC/1.1", "application/http; msgtype=response"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,7 +38,8 @@ def records(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("captured", F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)) % 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     small = pages.select(F.octet_length(body).alias("n"), F.sha1(body).alias("payload_digest"), "page_id").where(F.col("n") >= DEDUP_BYTES)
     kept = small.groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "kept")
-    joined = rows.join(kept, "payload_digest", "left")
+    # written first: Spark then knows its size, and moves no payload where it is small
+    joined = rows.join(stored(kept, "kept"), "payload_digest", "left")
     return joined.withColumn("refers_to", F.when(~F.coalesce(F.col("page_id") == F.col("kept"), F.lit(False)), F.col("kept"))).drop("kept")
 
 
@@ -58,7 +59,7 @@ def write_warc(rows: DataFrame, path: str) -> None:
         F.when(again, F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: "), _urn(F.col("refers_to")))).otherwise(""),
         F.lit(f"\r\nContent-Type: {RESPONSE_TYPE}\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     ).cast("binary")
-    write_flat(rows.select(F.concat(head, block).alias("record")), "record", path, "\r\n\r\n")
+    write_flat(rows.select(F.concat(head, block).alias("record")), "record", path, "\r\n\r\n", FILE_RECORDS)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -204,9 +205,7 @@ def merge_index(entries: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, path: str) -> DataFrame:
     """Writes ``pages`` to WARC files under ``path``, reads them back and gives their merged index."""
     spark = pages.sparkSession
-    rows = records(pages)
-    parts = max(1, -(-(pages.agg(F.sum(F.octet_length("html")).alias("n")).first()["n"] or 0) // FILE_BYTES))
-    write_warc(rows.repartition(parts), path)
+    write_warc(records(pages), path)
     return merge_index(stored(read_warc(spark, path), "entries"))
 
 
