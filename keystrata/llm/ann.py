@@ -90,7 +90,7 @@ def build(rows: DataFrame, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> tupl
     n = rows.count()
     sample = rows.where(F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, fit_rows / max(n, 1))) + 1)
     x = np.array([r["v"] for r in sample.orderBy(F.xxhash64("key"), "key").select("v").collect()], np.float64)
-    quantiser = train(x.reshape(len(x), -1))
+    quantiser = train(x if len(x) else np.zeros((0, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

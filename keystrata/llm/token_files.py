@@ -138,7 +138,7 @@ class _Reader:
                 return
             at = np.flatnonzero(tight)
             self.range[at] = (~self.low[at] + np.uint64(1)) & (_BOT - np.uint64(1))
-            self.code[due] = self.code[due] << _WORD | self.words[due, self.at[due]].astype(np.uint64)
+            self.code[due] = self.code[due] << _WORD | self.words[due, np.minimum(self.at[due], self.words.shape[1] - 1)].astype(np.uint64)  # damaged bytes may ask for more
             self.at[due] += 1
             self.low[due] <<= _WORD
             self.range[due] <<= _WORD
