@@ -1,5 +1,6 @@
 """The corpus queries by name, and SQL for those that SQL can express."""
 
+from keystrata.llm import oracles
 from keystrata.llm.ann import op10_ann
 from keystrata.llm.decontam import op9_decontamination
 from keystrata.llm.langid import op5_language_id
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": oracles.WARC, "op7_sharding": oracles.SHARDING, "op9_decontamination": oracles.DECONTAMINATION}
