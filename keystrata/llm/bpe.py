@@ -16,9 +16,10 @@ import pyarrow as pa
 from keystrata.llm.shared import ragged, worker_cache
 
 #: Chunks whose ids a worker keeps; beyond that it starts anew.
-CACHE = 800_000
+CACHE = 1_200_000
 _WHITE = np.zeros(256, bool)
-_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_BLANK = frozenset([*range(0x09, 0x0E), *range(0x1C, 0x21)])
+_WHITE[list(_BLANK)] = True
 
 
 class Encoder:
@@ -31,28 +32,29 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known chunks have a number; their ids lie one after the other."""
+        self.known: dict[bytes, int] = {}
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known.clear()
-        alone, joined = [], []
+        joined, alone = [], []
         for c in chunks:
-            safe = _WHITE[c[0]] and not _WHITE[c[-1]] and (c[-1] < 0x80 or (len(c) > 1 and 0xC3 <= c[-2] <= 0xDF))
+            safe = c[0] in _BLANK and c[-1] not in _BLANK and (c[-1] < 0x80 or (len(c) > 1 and 0xC3 <= c[-2] <= 0xDF))
             (joined if safe else alone).append(c)
-        for c, ids in zip(alone, self._ids([c.decode("utf-8", "replace") for c in alone]), strict=True):
-            self.known[c] = np.array(ids, np.uint32).tobytes()
-        groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
-        for group, ids in zip(groups, self._ids([b"".join(g).decode("utf-8", "replace") for g in groups]), strict=True):
-            ids = np.array(ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c) for c in group]), "left") + 1
-            begin = 0
-            for c, end in zip(group, ends.tolist(), strict=True):
-                self.known[c] = ids[begin:end].tobytes()
-                begin = end
+        found = self._ids([b"".join(joined[i : i + 256]).decode("utf-8", "replace") for i in range(0, len(joined), 256)])
+        ids = np.fromiter((i for g in found for i in g), np.uint32, sum(map(len, found)))
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))), "left") + 1
+        found = self._ids([c.decode("utf-8", "replace") for c in alone])
+        more = np.fromiter((i for g in found for i in g), np.uint32, sum(map(len, found)))
+        self.known.update(zip(joined + alone, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.flat = np.concatenate((self.flat, ids, more))
+        self.sizes = np.concatenate((self.sizes, np.diff(ends, prepend=0), np.array([len(g) for g in found], np.int64)))
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each."""
@@ -70,16 +72,16 @@ class Encoder:
         distinct = chunks.dictionary.to_pylist()
         missing = [c for c in distinct if c not in self.known]
         if missing:
-            held = len(self.known)
+            if len(self.known) + len(missing) > CACHE:
+                self._forget()
+                missing = distinct
             self._learn(missing)
-            if len(self.known) < held + len(missing):  # it started anew
-                self._learn([c for c in distinct if c not in self.known])
-        coded = [self.known[c] for c in distinct]
-        sizes = np.array([len(c) // 4 for c in coded], np.int64)
-        flat = np.frombuffer(b"".join(coded), np.uint32)
+        numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        sizes, starts = self.sizes[numbers], (np.cumsum(self.sizes) - self.sizes)[numbers]
         index = chunks.indices.to_numpy()
-        ids = flat[ragged((np.cumsum(sizes) - sizes)[index], sizes[index])]
-        total = np.concatenate(([0], np.cumsum(sizes[index])))
+        each = sizes[index]
+        ids = self.flat[ragged(starts[index], each)]
+        total = np.concatenate(([0], np.cumsum(each)))
         return ids, np.diff(total[np.searchsorted(begin, at)])
 
 

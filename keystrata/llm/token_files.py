@@ -24,85 +24,102 @@ from keystrata.llm.bpe import encoder
 from keystrata.llm.shared import buffers, read_flat, scratch, slices, stored, write_flat
 
 MAGIC, HEADER = b"KSTK", "<4sIIIQ"  # magic, documents, block size, blocks, ids
-BLOCK = 2048
+BLOCK = 1024
 #: Text bytes of a segment and of a file, about.
 SEGMENT_BYTES, FILE_BYTES = 12 << 20, 24 << 20
-_SLOTS, _OUT, _STEP, _FADE = 1024, 12, 24, 256
+_SLOTS, _OUT, _STEP, _FADE = 512, 10, 24, 256
 #: Smallest id of each size class after the three predictions, and the bits of an id's place in it.
-_BASE = np.array([0, 0, 0, 0, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536], np.uint64)
-_BITS = np.array([0, 0, 0, 9, 9, 10, 11, 12, 13, 14, 15, 32], np.uint64)
+_BASE = np.array([0, 0, 0, 0, 512, 2048, 8192, 16384, 32768, 65536], np.uint64)
+_BITS = np.array([0, 0, 0, 9, 11, 13, 13, 14, 15, 32], np.uint64)
+_CLASS = (np.searchsorted(_BASE[4:].astype(np.int64), np.arange(65537), "right") + 3).astype(np.int64)
+#: What a slot that predicts nothing holds; larger ids are never predicted.
+_NONE = (1 << 28) - 1
 _TOP, _BOT, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
 
 
 class _Model:
-    """The predictions and outcome counts of each of n blocks."""
+    """The predictions and outcome counts of each of n blocks. A slot packs the predicted id and, in three bits, the confidence in it."""
 
     def __init__(self, n: int):
-        self.row = np.arange(n)
-        self.p1, self.p2 = np.full(n * _SLOTS, -1, np.int64), np.full(n * _SLOTS, -1, np.int64)
-        self.c1, self.c2 = np.zeros(n * _SLOTS, np.int64), np.zeros(n * _SLOTS, np.int64)
-        self.p0, self.c0 = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        self.f0, self.f1, self.f2 = np.zeros((n, _OUT), np.int64), np.zeros((n * 4, _OUT), np.int64), np.zeros((n * 4, _OUT), np.int64)
+        self.row, self.n = np.arange(n), n
+        self.slot1, self.slot2 = (np.full(n * _SLOTS, _NONE << 3, np.int32) for _ in range(2))
+        self.p0, self.c0 = np.full(n, _NONE, np.int64), np.zeros(n, np.int64)
+        self.f0, self.f1, self.f2 = np.ones((_OUT, n), np.uint16), np.zeros((_OUT, n * 4), np.uint16), np.zeros((_OUT, n * 4), np.uint16)
         self.last, self.before, self.steps = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
 
-    def look(self) -> np.ndarray:
-        """Cumulated frequencies of the outcomes, one more column than outcomes."""
-        self.s1 = self.row * _SLOTS + ((self.last * 40503) >> 4) % _SLOTS
-        self.s2 = self.row * _SLOTS + ((self.last * 40503 + self.before * 30011) >> 3) % _SLOTS
-        self.k1, self.k2 = self.row * 4 + np.minimum(self.c1[self.s1], 3), self.row * 4 + np.minimum(self.c2[self.s2], 3)
-        self.g2, self.g1 = self.p2[self.s2], self.p1[self.s1]
-        cum = np.zeros((len(self.row), _OUT + 1), np.int64)
-        np.cumsum(self.f0 + self.f1[self.k1] + self.f2[self.k2] + 1, axis=1, out=cum[:, 1:])
-        return cum
+    def look(self) -> tuple[np.ndarray, np.ndarray]:
+        """Frequencies of the outcomes (outcome, block) and their sums up to each."""
+        spread = self.last * 40503
+        self.s1 = self.row * _SLOTS + ((spread >> 4) & (_SLOTS - 1))
+        self.s2 = self.row * _SLOTS + (((spread + self.before * 30011) >> 3) & (_SLOTS - 1))
+        self.e1, self.e2 = self.slot1[self.s1], self.slot2[self.s2]
+        self.g1, self.g2 = self.e1 >> 3, self.e2 >> 3
+        self.k1, self.k2 = self.row * 4 + np.minimum(self.e1 & 7, 3), self.row * 4 + np.minimum(self.e2 & 7, 3)
+        f = self.f0 + self.f1.take(self.k1, axis=1)
+        f += self.f2.take(self.k2, axis=1)
+        return f, np.cumsum(f, axis=0, dtype=np.uint32)
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
-        size = np.searchsorted(_BASE[4:].astype(np.int64), ids, "right") + 3
-        return np.where(ids == self.g2, 0, np.where(ids == self.g1, 1, np.where(ids == self.p0, 2, size)))
+        out = _CLASS[np.minimum(ids, 65536)]
+        out[ids == self.p0] = 2
+        out[ids == self.g1] = 1
+        out[ids == self.g2] = 0
+        return out
 
     def update(self, ids: np.ndarray, out: np.ndarray) -> None:
-        self.f0[self.row, out] += _STEP
-        self.f1[self.k1, out] += _STEP
-        self.f2[self.k2, out] += _STEP
-        for p, c, s, guess in ((self.p1, self.c1, self.s1, self.g1), (self.p2, self.c2, self.s2, self.g2)):
-            same = guess == ids
-            conf = c[s]
-            weak = ~same & (conf <= 1)
-            c[s] = np.where(same, np.minimum(conf + 1, 7), np.where(weak, 0, conf >> 1))
-            p[s] = np.where(weak, ids, guess)
-        same = self.p0 == ids
-        self.c0 += np.where(same, 1, -1)
+        self.f0.ravel()[out * self.n + self.row] += _STEP
+        wide = out * (4 * self.n)
+        self.f1.ravel()[wide + self.k1] += _STEP
+        self.f2.ravel()[wide + self.k2] += _STEP
+        kept = (np.minimum(ids, _NONE) << 3).astype(np.int32)
+        for slots, at, e, guess in ((self.slot1, self.s1, self.e1, self.g1), (self.slot2, self.s2, self.e2, self.g2)):
+            conf = e & 7  # rises with a hit, halves with a miss; the lowest gives way
+            slots[at] = np.where(guess == ids, e + (conf < 7), np.where(conf <= 1, kept, (e - conf) | conf >> 1))
+        self.c0 += np.where(self.p0 == ids, 1, -1)
         gone = self.c0 < 0
-        self.p0, self.c0 = np.where(gone, ids, self.p0), np.where(gone, 1, self.c0)
+        self.p0[gone], self.c0[gone] = np.minimum(ids[gone], _NONE), 1
         self.before, self.last = self.last, ids
         self.steps += 1
         if self.steps % _FADE == 0:
-            for f in (self.f0, self.f1, self.f2):
-                f >>= 1
+            self.f0 -= self.f0 >> 1
+            self.f1 >>= 1
+            self.f2 >>= 1
+
+
+def _due(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Blocks that have a word to pass on; where a carry might still change it, the width is cut so that it can't."""
+    small = np.flatnonzero(width < _TOP)
+    if not len(small):
+        return small
+    a, w = low[small], width[small]
+    settled = (a ^ (a + w)) < _TOP
+    tight = ~settled & (w < _BOT)
+    at = small[tight]
+    width[at] = (~low[at] + np.uint64(1)) & (_BOT - np.uint64(1))
+    return small[settled | tight]
 
 
 class _Writer:
     def __init__(self, n: int, words: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.low, self.width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.out, self.n = np.zeros((n, words), "<u2"), np.zeros(n, np.int64)
 
     def put(self, cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
         """Codes the part [cum, cum + freq) of total; (0, 1, 1) changes nothing."""
-        self.range //= total
-        self.low += cum * self.range
-        self.range *= freq
-        while True:
-            settled = (self.low ^ (self.low + self.range)) < _TOP
-            tight = ~settled & (self.range < _BOT)
-            due = np.flatnonzero(settled | tight)
-            if not len(due):
-                return
-            at = np.flatnonzero(tight)
-            self.range[at] = (~self.low[at] + np.uint64(1)) & (_BOT - np.uint64(1))
+        self.width //= total
+        self.low += cum * self.width
+        self.width *= freq
+        while len(due := _due(self.low, self.width)):
             low = self.low[due]
             self.out[due, self.n[due]] = low >> np.uint64(48)
             self.n[due] += 1
             self.low[due] = low << _WORD
-            self.range[due] <<= _WORD
+            self.width[due] <<= _WORD
+
+    def put_bits(self, value: np.ndarray, bits: np.ndarray) -> None:
+        """Codes ``bits`` (0 to 16) even bits."""
+        self.width >>= bits
+        self.put(value, np.uint64(1), np.uint64(1))
 
     def end(self) -> list[bytes]:
         rows = np.arange(len(self.n))
@@ -118,59 +135,58 @@ class _Reader:
         self.words = np.zeros((n, most), "<u2")
         for row, b in zip(self.words, coded, strict=True):
             row[: len(b) // 2] = np.frombuffer(b, "<u2")
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.low, self.width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.code, self.at = np.zeros(n, np.uint64), np.full(n, 4, np.int64)
         for k in range(4):
             self.code = self.code << _WORD | self.words[:, k].astype(np.uint64)
 
     def value(self, total: np.ndarray) -> np.ndarray:
-        self.range //= total
-        return np.minimum((self.code - self.low) // self.range, total - np.uint64(1))
+        self.width //= total
+        return np.minimum((self.code - self.low) // self.width, total - np.uint64(1))
+
+    def bits(self, bits: np.ndarray) -> np.ndarray:
+        self.width >>= bits
+        value = np.minimum((self.code - self.low) // self.width, (np.uint64(1) << bits) - np.uint64(1))
+        self.take(value, np.uint64(1))
+        return value
 
     def take(self, cum: np.ndarray, freq: np.ndarray) -> None:
-        self.low += cum * self.range
-        self.range *= freq
-        while True:
-            settled = (self.low ^ (self.low + self.range)) < _TOP
-            tight = ~settled & (self.range < _BOT)
-            due = np.flatnonzero(settled | tight)
-            if not len(due):
-                return
-            at = np.flatnonzero(tight)
-            self.range[at] = (~self.low[at] + np.uint64(1)) & (_BOT - np.uint64(1))
-            self.code[due] = self.code[due] << _WORD | self.words[due, np.minimum(self.at[due], self.words.shape[1] - 1)].astype(np.uint64)  # damaged bytes may ask for more
-            self.at[due] += 1
+        self.low += cum * self.width
+        self.width *= freq
+        while len(due := _due(self.low, self.width)):
+            at = self.at[due]
+            word = self.words[due, np.minimum(at, self.words.shape[1] - 1)]  # damaged bytes may ask for more
+            self.code[due] = self.code[due] << _WORD | word.astype(np.uint64)
+            self.at[due] = at + 1
             self.low[due] <<= _WORD
-            self.range[due] <<= _WORD
+            self.width[due] <<= _WORD
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Each run of ``block`` ids coded on its own."""
+    """Each run of ``block`` ids coded on its own. Only the last can be short: it goes on with steps of id 0 that code nothing."""
     n = -(-len(ids) // block)
     if not n:
         return []
     grid = np.zeros((n, block), np.int64)
     grid.ravel()[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.T)
     short = len(ids) - (n - 1) * block
     model, writer = _Model(n), _Writer(n, 3 * block + 16)
-    one, rows = np.ones(n, np.uint64), np.arange(n)
     for t in range(min(block, len(ids))):
-        x, cum = grid[:, t], model.look()
+        x, (f, cum) = grid[t], model.look()
         out = model.outcome(x)
-        low, high, total = cum[rows, out].astype(np.uint64), cum[rows, out + 1].astype(np.uint64), cum[:, -1].astype(np.uint64)
-        freq = high - low
-        bits, place = _BITS[out], x.astype(np.uint64) - _BASE[out]
-        place[bits == 0] = 0
+        at = out * n + model.row
+        freq = f.ravel()[at].astype(np.uint64)
+        low, total, bits = cum.ravel()[at] - freq, cum[-1].astype(np.uint64), _BITS[out]
+        place = np.where(bits > 0, x.astype(np.uint64) - _BASE[out], np.uint64(0))
         if t >= short:
-            low[-1], freq[-1], total[-1], bits[-1] = 0, 1, 1, 0
+            low[-1], freq[-1], total[-1], bits[-1], place[-1] = 0, 1, 1, 0, 0
         writer.put(low, freq, total)
-        if bits.any():
-            wide = bits > 16
-            if wide.any():
-                writer.put(np.where(wide, place >> np.uint64(16), 0).astype(np.uint64), one, np.where(wide, 1 << 16, 1).astype(np.uint64))
-                place, bits = np.where(wide, place & np.uint64(0xFFFF), place), np.where(wide, np.uint64(16), bits)
-            place[bits == 0] = 0
-            writer.put(place, one, np.uint64(1) << bits)
+        wide = bits > 16
+        if wide.any():
+            writer.put_bits(np.where(wide, place >> _WORD, np.uint64(0)), np.where(wide, _WORD, np.uint64(0)))
+            place, bits = np.where(wide, place & np.uint64(0xFFFF), place), np.minimum(bits, _WORD)
+        writer.put_bits(place, bits)
         model.update(x, out)
     return writer.end()
 
@@ -181,36 +197,33 @@ def decode_blocks(coded: list[bytes], total_ids: int, block: int = BLOCK) -> np.
     if not n:
         return np.zeros(0, np.uint32)
     short = total_ids - (n - 1) * block
-    grid = np.zeros((n, block), np.uint32)
+    grid = np.zeros((block, n), np.uint32)
     model, reader = _Model(n), _Reader(coded)
-    one, rows = np.ones(n, np.uint64), np.arange(n)
     for t in range(min(block, total_ids)):
-        cum = model.look()
-        total = cum[:, -1].astype(np.uint64)
+        f, cum = model.look()
+        total = cum[-1].astype(np.uint64)
         if t >= short:
             total[-1] = 1
-        value = reader.value(total).astype(np.int64)
-        out = (cum[:, 1:] <= value[:, None]).sum(axis=1)
-        low, freq = cum[rows, out].astype(np.uint64), (cum[rows, out + 1] - cum[rows, out]).astype(np.uint64)
-        bits = _BITS[out]
+        value = reader.value(total).astype(np.uint32)
+        out = (cum <= value).sum(axis=0)
+        at = out * n + model.row
+        freq = f.ravel()[at].astype(np.uint64)
+        low, bits = cum.ravel()[at] - freq, _BITS[out]
         if t >= short:
-            low[-1], freq[-1], bits[-1], out[-1] = 0, 1, 0, 2
+            low[-1], freq[-1], bits[-1] = 0, 1, 0
         reader.take(low, freq)
         x = np.where(out == 0, model.g2, np.where(out == 1, model.g1, model.p0))
-        if bits.any():
-            wide, top = bits > 16, np.zeros(n, np.uint64)
-            if wide.any():
-                top = reader.value(np.where(wide, 1 << 16, 1).astype(np.uint64))
-                reader.take(top, one)
-            bits = np.where(wide, np.uint64(16), bits)
-            place = reader.value(np.uint64(1) << bits)
-            reader.take(place, one)
-            x = np.where(bits > 0, (_BASE[out] + (top << np.uint64(16) | place)).astype(np.int64), x)
+        wide, top = bits > 16, np.uint64(0)
+        if wide.any():
+            top = reader.bits(np.where(wide, _WORD, np.uint64(0)))
+        place = reader.bits(np.minimum(bits, _WORD))
+        x = np.where(bits > 0, (_BASE[out] + (top << _WORD | place)).astype(np.int64), x)
         if t >= short:
-            x[-1], out[-1] = 0, model.outcome(np.zeros(n, np.int64))[-1]
-        grid[:, t] = x
+            x[-1] = 0
+            out[-1] = model.outcome(x)[-1]
+        grid[t] = x
         model.update(x, out)
-    return grid.ravel()[:total_ids]
+    return np.ascontiguousarray(grid.T).ravel()[:total_ids]
 
 
 def pack_segment(keys: np.ndarray, valid: np.ndarray, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
