@@ -97,7 +97,7 @@ def fit(labelled: DataFrame, per_lang: int = FIT_ROWS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19, 128):
                 tf = counts(*buffers(part.column("text")))
                 at = [np.flatnonzero(row) for row in tf]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([row[a].astype("<f4").tobytes() for row, a in zip(tf, at, strict=True)], pa.binary())], ["key", "lang", "at", "tf"])
@@ -124,7 +124,7 @@ def identify(text: F.Column, model: Model) -> F.Column:
     def run(column: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([column], ["t"])
         langs, scores, rejected = [], [], []
-        for part in slices(batch, "t", 1 << 20):
+        for part in slices(batch, "t", 1 << 19, 128):
             raw, at = buffers(part.column("t"))
             n = len(at) - 1
             letter = np.concatenate(([0], np.cumsum(_FOLD[raw] - 97 < 26)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +21,9 @@ def scratch(spark: SparkSession, what: str) -> str:
     """A new folder's path below ``spark.checkpoint.dir``, which every executor shares; a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='keystrata-')}"
+        folder = tempfile.mkdtemp(prefix="keystrata-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/keystrata/{what}-{uuid.uuid4().hex}"
 
@@ -49,12 +53,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batch`` in runs of about ``most`` bytes of ``column``; a longer value is a run of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in runs of about ``most`` bytes of ``column`` and at most ``rows`` rows; a longer value is a run of its own."""
     _, at = buffers(batch.column(column))
     start, n = 0, len(at) - 1
     while start < n:
-        end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
+        end = min(start + rows, max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1))
         yield batch.slice(start, end - start)
         start = end
 

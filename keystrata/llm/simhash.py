@@ -85,7 +85,7 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 20, 1024):
                 fp = fingerprints(*buffers(part.column("text")), shingle, seed)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(fp.view(np.int64))], ["key", "fp"])
 
