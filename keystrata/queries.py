@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -27,7 +29,11 @@ ORACLE: dict[str, str] = {}
 
 def folder(spark: SparkSession) -> str:
     """A new folder for a session's catalog, on storage that executors share where the session names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='keystrata-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        made = tempfile.mkdtemp(prefix="keystrata-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        root = f"file://{made}"
     return f"{root.rstrip('/')}/keystrata/session-{uuid.uuid4().hex}"
 
 

@@ -34,8 +34,9 @@ class Store:
         state = json.loads(self.files.read("manifest.json")) if self.files.exists("manifest.json") else {"segments": [], "seq": 0, "flushed": 0}
         self.segments: list[dict] = state["segments"]
         self.seq: int = state["seq"]
+        self._logged: int = state["flushed"]
         self._check_segments()
-        self._recover(state["flushed"])
+        self._recover()
 
     # opening
 
@@ -66,12 +67,9 @@ class Store:
         finally:
             stream.close()
 
-    _logged = 0
-
-    def _recover(self, flushed: int) -> None:
-        """Replays the log files after ``flushed`` in order, up to the first that is damaged; later ones are put aside."""
-        self._logged = flushed
-        sound = True
+    def _recover(self) -> None:
+        """Replays the log files that no segment holds yet, in order, up to the first that is damaged; that and later ones are put aside."""
+        sound, flushed = True, self._logged
         for name in self.files.list("wal"):
             number = int(name.partition(".")[0])
             if number <= flushed:
