@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +24,8 @@ from pyspark.sql import functions as F
 from keystrata.llm.shared import buffers, ragged, slices, worker_cache
 
 THETA, SEED = 1.0, 0
-#: Rank at which byte pieces weigh; chunks whose lattices a worker keeps before it starts anew.
-BYTE_RANK, CACHE = 1_000_000, 400_000
-SLICE_BYTES = 2 << 20
+#: Rank at which byte pieces weigh; text bytes whose distinct chunks are filtered together.
+BYTE_RANK, SLICE_BYTES = 1_000_000, 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -36,15 +34,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Strings:
+    """Hashes of all strings that begin in a buffer, of growing length: each call takes in the next byte."""
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray):
+        self.raw, self.at, self.size, self.state = raw, at, 0, np.zeros(len(at), np.uint64)
+
+    def grow(self, keep: np.ndarray) -> np.ndarray:
+        """Drops what ``keep`` doesn't name, takes in a byte more of the rest, and gives their hashes."""
+        self.at = self.at[keep]
+        self.state = (self.state[keep] + self.raw[self.at + self.size] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        self.state ^= self.state >> np.uint64(29)
+        self.size += 1
+        return self.state
+
+
 class Lattices:
-    """The pieces of a model with byte fallback, and the filtered lattices of chunks."""
+    """The pieces of a model with byte fallback, and samples from the lattices of texts."""
 
     def __init__(self, path: str, theta: float = THETA):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
-        self.piece: dict[str, tuple[float, int]] = {}
-        self.byte = [0] * 256
+        self.byte, pieces = np.zeros(256, np.int64), {}
         text = [b""] * model.get_piece_size()
         for i in range(len(text)):
             if model.is_byte(i):
@@ -54,40 +66,80 @@ class Lattices:
                 string = model.id_to_piece(i).replace("▁", " ")
                 if " " in string.lstrip(" "):
                     raise ValueError(f"piece {i} crosses a space")
-                self.piece[string] = ((2.0 - model.get_score(i)) ** -theta, i)
                 text[i] = string.encode()
-        self.most = max(map(len, self.piece))
-        self.byte_weight = float(BYTE_RANK) ** -theta
+                pieces[text[i]] = i
         self.sizes = np.array([len(t) for t in text], np.int64)
         self.text, self.begins = np.frombuffer(b"".join(text), np.uint8), np.cumsum(self.sizes) - self.sizes
-        self.known: dict[bytes, tuple[bytes, bytes, bytes, bytes, bytes]] = {}
-
-    def filter(self, chunk: str) -> tuple[bytes, bytes, bytes, bytes, bytes]:
-        """Of the nodes 1 to n of a chunk: how many edges end there; of these, cumulated chances, how far back they begin, number of pieces, and the pieces."""
-        n, most, get = len(chunk), self.most, self.piece.get
-        alpha, counts, chances, backs, sizes, pieces = [1.0] * (n + 1), array("I"), array("d"), array("I"), array("I"), array("I")
-        for j in range(1, n + 1):
-            total, found = 0.0, []
-            for k in range(1, min(most, j) + 1):
-                hit = get(chunk[j - k : j])
-                if hit is not None:
-                    total += alpha[j - k] * hit[0]
-                    found.append((total, k, (hit[1],)))
-            if chunk[j - 1] not in self.piece:
-                spelled = chunk[j - 1].encode()
-                total += alpha[j - 1] * self.byte_weight ** len(spelled)
-                found.append((total, 1, [self.byte[b] for b in spelled]))
-            alpha[j] = total
-            if total < 1e-120:  # only ratios of the last few matter
-                for i in range(max(0, j - most), j + 1):
-                    alpha[i] *= 1e110
-            counts.append(len(found))
-            for chance, k, ids in found:
-                chances.append(chance / total)
-                backs.append(k)
-                sizes.append(len(ids))
-                pieces.extend(ids)
-        return tuple(a.tobytes() for a in (counts, chances, backs, sizes, pieces))
+        self.weight = np.array([(2.0 - model.get_score(i)) ** -theta for i in range(len(text))])
+        self.byte_weight = float(BYTE_RANK) ** -theta
+        self.most = max(map(len, pieces))
+        # every beginning of a piece by its hash: the piece that it is, or -1
+        strings = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
+        raw, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings])
+        hashes, grown, left = np.zeros(len(strings), np.uint64), _Strings(raw, np.cumsum(sizes) - sizes), np.arange(len(strings))
+        for size in range(1, self.most + 1):
+            keep = sizes[left] >= size
+            left = left[keep]
+            hashes[left] = grown.grow(np.flatnonzero(keep))
+        order = np.argsort(hashes)
+        self.hashes, self.of_hash = hashes[order], np.array([pieces.get(x, -1) for x in strings], np.int64)[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.hashes >> np.uint64(44)] = True
+
+    def edges(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, piece, weight) of all pieces in the chunks between the offsets, as byte places; piece -1 spells a character that is no piece in bytes."""
+        lead = np.flatnonzero((raw & 0xC0) != 0x80)
+        stop = np.append(lead[1:], len(raw))
+        room = off[np.searchsorted(off, lead, "right")] - lead
+        grown, left, found = _Strings(raw, lead), np.arange(len(lead)), []
+        alone = np.zeros(len(lead), bool)
+        for size in range(1, self.most + 1):
+            keep = np.flatnonzero(room[left] >= size)
+            left = left[keep]
+            if not len(left):
+                break
+            h = grown.grow(keep)
+            near = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
+            hit = self.hashes[at] == h[near]
+            near, piece = near[hit], self.of_hash[at[hit]]
+            whole = piece >= 0
+            mine = left[near[whole]]
+            found.append((lead[mine], np.full(len(mine), size), piece[whole], self.weight[piece[whole]]))
+            alone[mine[stop[mine] - lead[mine] == size]] = True
+            left, grown.at, grown.state = left[near], grown.at[near], grown.state[near]
+        spelled = np.flatnonzero(~alone)
+        size = stop[spelled] - lead[spelled]
+        found.append((lead[spelled], size, np.full(len(spelled), -1), self.byte_weight**size))
+        begin, size, piece, weight = (np.concatenate(c) for c in zip(*found, strict=True))
+        return begin, begin + size, piece, weight
+
+    def filter(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Edges in the order of the places where they end, with their chances given that place, and the first edge of each place and after the last."""
+        begin, end, piece, weight = self.edges(raw, off)
+        order = np.lexsort((begin, end))
+        begin, end, piece, weight = begin[order], end[order], piece[order], weight[order]
+        chunk = np.searchsorted(off, begin, "right") - 1
+        deep = end - off[chunk]
+        # alpha of a place inside a chunk is at its number; a chunk's start is 1 and has no number of its own
+        alpha, chance = np.zeros(len(raw) + 1), np.zeros(len(begin))
+        starts = begin == off[chunk]
+        by = np.argsort(deep, kind="stable")
+        edges = np.searchsorted(deep[by], np.arange(1, (int(deep.max()) if len(deep) else 0) + 2))
+        for j in range(len(edges) - 1):
+            e = by[edges[j] : edges[j + 1]]
+            if not len(e):
+                continue
+            part, to = np.where(starts[e], 1.0 if j < self.most else 0.0, alpha[begin[e]]) * weight[e], end[e]
+            first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            total = np.add.reduceat(part, first)
+            chance[e] = part / np.repeat(total, np.diff(np.append(first, len(e))))
+            alpha[to[first]] = total
+            low = np.flatnonzero(total < 1e-120)
+            if len(low) and j >= self.most:  # only ratios of the last few places matter
+                for k in range(self.most):
+                    alpha[to[first[low]] - k] *= 1e110
+        return begin, end, piece, chance, np.searchsorted(end, np.arange(len(raw) + 2))
 
     def sample(self, raw: np.ndarray, at: np.ndarray, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all texts one after the other, and the number of each; ``keys`` are unsigned 64-bit."""
@@ -107,43 +159,33 @@ class Lattices:
         begin = np.flatnonzero(start)
         offsets = np.append(begin, len(padded)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(padded)]).dictionary_encode()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        lattices = []
-        for chunk in coded.dictionary.to_pylist():
-            if (lattice := self.known.get(chunk)) is None:
-                lattice = self.known[chunk] = self.filter(chunk.decode("utf-8", "replace"))
-            lattices.append(lattice)
-        counts, chances, backs, many, pieces = (np.frombuffer(b"".join(x[i] for x in lattices), k) for i, k in enumerate(("u4", "f8", "u4", "u4", "u4")))
-        nodes = np.array([len(x[0]) // 4 for x in lattices], np.int64)
-        last = np.cumsum(nodes) - 1  # the node at each chunk's end; a chunk's own start is the node before its first
-        first = last - nodes
-        cumulated = chances + np.repeat(np.arange(len(counts)), counts)  # node v owns the values in (v, v + 1]
-        stops = np.cumsum(counts.astype(np.int64)) - 1
-        first_piece = np.cumsum(many.astype(np.int64)) - many
+        text, off = buffers(coded.dictionary)
+        from_, to, piece, chance, first = self.filter(text, off)
+        total = np.concatenate(([0.0], np.cumsum(chance)))
+        cumulated = np.minimum(total[1:] - total[first[to]], 1.0) + to  # the place v owns the values in (v, v + 1]
 
         index = coded.indices.to_numpy()
         owner = np.searchsorted(at, begin, "right") - 1
         nth = np.arange(len(begin)) - np.searchsorted(begin, at[:-1])[owner]
         state = _mix(_mix(keys[owner] + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) + nth.astype(np.uint64))
-        node, live = last[index], np.arange(len(begin))
+        place, home, live = off[index + 1], off[index], np.arange(len(begin))
         drawn_for, drawn = [], []
-        step = 0
         while len(live):
-            u = ((_mix(state[live] + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-            here = node[live]
-            edge = np.searchsorted(cumulated, here + u, "left")
-            edge = np.minimum(edge, stops[here])  # a chance of 1 may be rounded down
+            u = ((_mix(state[live] + np.uint64((len(drawn) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+            here = place[live]
+            edge = np.minimum(np.searchsorted(cumulated, here + u, "left"), first[here + 1] - 1)  # a chance of 1 may be rounded down
             drawn_for.append(live)
             drawn.append(edge)
-            node[live] = here - backs[edge]
-            live = live[node[live] > first[index[live]]]
-            step += 1
+            place[live] = from_[edge]
+            live = live[from_[edge] > home[live]]
         chunk, edge = np.concatenate(drawn_for), np.concatenate(drawn)
-        order = np.lexsort((-np.repeat(np.arange(len(drawn)), [len(d) for d in drawn]), chunk))  # back to front
-        edge, chunk = edge[order], chunk[order]
-        width = many[edge].astype(np.int64)
-        return pieces[ragged(first_piece[edge], width)], np.bincount(owner[chunk], width, len(sizes)).astype(np.int64)
+        order = np.argsort(chunk[::-1], kind="stable")  # back to front
+        edge, chunk = edge[::-1][order], chunk[::-1][order]
+        spelled = piece[edge] < 0
+        width = np.where(spelled, to[edge] - from_[edge], 1)
+        out = np.repeat(piece[edge], width)
+        out[np.repeat(spelled, width)] = self.byte[text[ragged(from_[edge[spelled]], width[spelled])]]
+        return out.astype(np.uint32), np.bincount(owner[chunk], width, len(sizes)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the texts and their n + 1 offsets, without the space put before each."""

@@ -218,16 +218,17 @@ def test_sentencepieces_are_lossless_reproducible_and_spread(spark):
 
 def test_samples_follow_the_lattice():
     model = sentencepieces.Lattices(PIECES)
-    text = " there"
+    library, text = SentencePieceProcessor(model_file=PIECES), " there"
+    pieces = {library.id_to_piece(i).replace("▁", " "): i for i in range(259, library.get_piece_size())}
 
     def segmentations(s):
         if not s:
             return [((), 1.0)]
         found = []
         for k in range(1, len(s) + 1):
-            if s[:k] in model.piece:
-                w, i = model.piece[s[:k]]
-                found += [((i, *rest), w * x) for rest, x in segmentations(s[k:])]
+            if s[:k] in pieces:
+                i = pieces[s[:k]]
+                found += [((i, *rest), model.weight[i] * x) for rest, x in segmentations(s[k:])]
         return found
 
     chances = dict(segmentations(text))
