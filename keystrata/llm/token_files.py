@@ -4,8 +4,8 @@ A file is a row of segments, a segment holds whole documents: a directory (keys,
 of BLOCK ids. Every block starts from a fresh model, so all blocks of a segment are coded in lock-step,
 an id of each at a time. The model of a block predicts an id by the last successor of the two ids before
 (order 2), of the id before (order 1) and by the block's commonest id so far (order 0). An outcome says which
-prediction holds or else in which size class the id lies; its frequencies mix, by adding counts, the outcomes seen so far,
-those at the order-1 prediction's confidence and those at the order-2 prediction's confidence.
+prediction holds or else in which size class the id lies; its frequencies mix, by adding counts, the outcomes seen so far
+and those seen at the confidences that the order-1 and order-2 predictions have now.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from keystrata.llm.shared import buffers, read_flat, scratch, slices, stored, wr
 MAGIC, HEADER = b"KSTK", "<4sIIIQ"  # magic, documents, block size, blocks, ids
 BLOCK = 1024
 #: Text bytes of a segment and of a file, about.
-SEGMENT_BYTES, FILE_BYTES = 12 << 20, 24 << 20
+SEGMENT_BYTES, FILE_BYTES = 20 << 20, 20 << 20
 _SLOTS, _OUT, _STEP, _FADE = 512, 10, 24, 256
 #: Smallest id of each size class after the three predictions, and the bits of an id's place in it.
 _BASE = np.array([0, 0, 0, 0, 512, 2048, 8192, 16384, 32768, 65536], np.uint64)
@@ -44,7 +44,7 @@ class _Model:
         self.row, self.n = np.arange(n), n
         self.slot1, self.slot2 = (np.full(n * _SLOTS, _NONE << 3, np.int32) for _ in range(2))
         self.p0, self.c0 = np.full(n, _NONE, np.int64), np.zeros(n, np.int64)
-        self.f0, self.f1, self.f2 = np.ones((_OUT, n), np.uint16), np.zeros((_OUT, n * 4), np.uint16), np.zeros((_OUT, n * 4), np.uint16)
+        self.f0, self.f12 = np.ones((_OUT, n), np.uint16), np.zeros((_OUT, n * 16), np.uint16)
         self.last, self.before, self.steps = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
 
     def look(self) -> tuple[np.ndarray, np.ndarray]:
@@ -54,9 +54,9 @@ class _Model:
         self.s2 = self.row * _SLOTS + (((spread + self.before * 30011) >> 3) & (_SLOTS - 1))
         self.e1, self.e2 = self.slot1[self.s1], self.slot2[self.s2]
         self.g1, self.g2 = self.e1 >> 3, self.e2 >> 3
-        self.k1, self.k2 = self.row * 4 + np.minimum(self.e1 & 7, 3), self.row * 4 + np.minimum(self.e2 & 7, 3)
-        f = self.f0 + self.f1.take(self.k1, axis=1)
-        f += self.f2.take(self.k2, axis=1)
+        self.k = self.row * 16 + (np.minimum(self.e1 & 7, 3) | np.minimum(self.e2 & 7, 3) << 2)
+        f = self.f12.take(self.k, axis=1)
+        f += self.f0
         return f, np.cumsum(f, axis=0, dtype=np.uint32)
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
@@ -68,9 +68,7 @@ class _Model:
 
     def update(self, ids: np.ndarray, out: np.ndarray) -> None:
         self.f0.ravel()[out * self.n + self.row] += _STEP
-        wide = out * (4 * self.n)
-        self.f1.ravel()[wide + self.k1] += _STEP
-        self.f2.ravel()[wide + self.k2] += _STEP
+        self.f12.ravel()[out * (16 * self.n) + self.k] += _STEP
         kept = (np.minimum(ids, _NONE) << 3).astype(np.int32)
         for slots, at, e, guess in ((self.slot1, self.s1, self.e1, self.g1), (self.slot2, self.s2, self.e2, self.g2)):
             conf = e & 7  # rises with a hit, halves with a miss; the lowest gives way
@@ -82,8 +80,7 @@ class _Model:
         self.steps += 1
         if self.steps % _FADE == 0:
             self.f0 -= self.f0 >> 1
-            self.f1 >>= 1
-            self.f2 >>= 1
+            self.f12 >>= 1
 
 
 def _due(low: np.ndarray, width: np.ndarray) -> np.ndarray:
