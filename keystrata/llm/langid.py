@@ -23,7 +23,7 @@ DIM = 4096
 #: Labelled rows of a language that the fit takes on average at most; centroids of a language; rounds of k-means.
 FIT_ROWS, CENTROIDS, ROUNDS = 600, 4, 12
 #: A text is rejected below this share of the lowest cosine of its centroid's training texts.
-REJECT = 0.25
+REJECT = 0.1
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)

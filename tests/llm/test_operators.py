@@ -262,6 +262,8 @@ def test_language_id(spark):
             assert (r["lang"], r["score"], r["rejected"]) == ("und", 0.0, True)
         else:
             assert r["lang"] in model.langs
+    strange = spark.createDataFrame([("Ελληνικά γράμματα και λέξεις εδώ",), ("漢字漢字漢字",)], "t string").select(langid.identify(F.col("t"), model)["rejected"]).collect()
+    assert all(r[0] for r in strange)
     nothing = langid.trained_on(empty(spark))
     assert {r[0] for r in documents(spark).select(langid.identify(F.col("text"), nothing)["lang"]).collect()} == {"und"}
 
