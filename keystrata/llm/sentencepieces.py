@@ -25,7 +25,7 @@ from keystrata.llm.shared import buffers, ragged, slices, worker_cache
 
 THETA, SEED = 1.0, 0
 #: Rank at which byte pieces weigh; text bytes whose distinct chunks are filtered together.
-BYTE_RANK, SLICE_BYTES = 1_000_000, 4 << 20
+BYTE_RANK, SLICE_BYTES = 1_000_000, 5 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -251,6 +251,24 @@ def digests(key: F.Column, text: F.Column, model: str, theta: float = THETA, see
     return F.arrow_udf(run, "n_pieces long, pieces_crc32 long, decoded_sha256 string, lossless boolean")(F.coalesce(F.xxhash64(key), F.lit(0).cast("long")), text)
 
 
+def round_trip(key: F.Column, text: F.Column, model: str, theta: float = THETA, seed: int = SEED) -> F.Column:
+    """struct(pieces, text): what ``encode`` and, of that, ``decode`` give, drawn once; a null text stays null."""
+
+    def run(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        batch, parts = pa.RecordBatch.from_arrays([keys, texts], ["key", "text"]), []
+        for part in slices(batch, "text", SLICE_BYTES):
+            model_ = lattices(model, theta)
+            ids, n = model_.sample(*buffers(part.column("text")), part.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), seed)
+            raw, at = model_.decode(ids, n)
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(ids.astype(np.int32)))
+            valid = None if not part.column("text").null_count else pa.py_buffer(np.packbits(part.column("text").is_valid().to_numpy(zero_copy_only=False), bitorder="little"))
+            back = pa.StringArray.from_buffers(len(n), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw)), valid, part.column("text").null_count)
+            parts.append(pa.StructArray.from_arrays([lists, back], ["pieces", "text"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("pieces", pa.list_(pa.int32())), ("text", pa.string())]))
+
+    return F.arrow_udf(run, "pieces array<int>, text string")(F.coalesce(F.xxhash64(key), F.lit(0).cast("long")), text)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampled segmentation of every document, decoded again."""
     import public_tokenizers
@@ -265,5 +283,5 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = docs.withColumn("pieces", encode(F.col("doc_id"), F.col("text"), model))
-    return coded.withColumns({"text": F.when(F.col("text").isNotNull(), decode(F.col("pieces"), model)), "n_pieces": F.size("pieces")})
+    coded = docs.withColumn("__ks_coded", round_trip(F.col("doc_id"), F.col("text"), model))
+    return coded.withColumns({"pieces": F.col("__ks_coded.pieces"), "text": F.col("__ks_coded.text"), "n_pieces": F.size("__ks_coded.pieces")}).drop("__ks_coded")
