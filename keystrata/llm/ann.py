@@ -114,11 +114,38 @@ def build(rows: DataFrame, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> tupl
     return stored(spread.mapInArrow(run, "n int, ids binary, codes binary, norms binary, vectors binary").withColumn("part", F.spark_partition_id()), "codes"), quantiser
 
 
+def copies(ids: np.ndarray, v: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A row of each different vector of ``v``; of each the rows with its smallest ids, as many as ``top`` results can hold, filled up with -1; the rows that one id has at most."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros((0, 1), np.int64), 1
+    row = np.ascontiguousarray(v + 0.0).view(np.dtype((np.void, v.shape[1] * v.itemsize))).ravel()  # -0 is 0
+    _, first, of = np.unique(row, return_index=True, return_inverse=True)
+    spare = int(np.unique(ids, return_counts=True)[1].max())  # a query's own id is no result
+    order = np.lexsort((ids, of.ravel()))
+    sizes = np.bincount(of.ravel())
+    rank = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    members = np.full((len(first), min(int(sizes.max()), top + spare)), -1, np.int64)
+    ok = rank < members.shape[1]
+    members[of.ravel()[order[ok]], rank[ok]] = order[ok]
+    return first, members, spare
+
+
+def highest(scores: np.ndarray, keep: int) -> np.ndarray:
+    """The places of the ``keep`` highest of each row, and of further ones so that no row lacks one equal to its last."""
+    n = scores.shape[1]
+    if keep >= n:
+        return np.broadcast_to(np.arange(n), scores.shape)
+    last = np.partition(scores, n - keep, axis=1)[:, n - keep]
+    wide = int((scores >= last[:, None]).sum(axis=1).max())
+    return np.argpartition(scores, n - wide, axis=1)[:, n - wide :] if wide < n else np.broadcast_to(np.arange(n), scores.shape)
+
+
 def search(index: DataFrame, quantiser: Quantiser, queries: DataFrame, top: int, rerank: int = RERANK, measure: str = "ip") -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row (key, v; keys differ) of ``queries``, rows of its own id apart; ties go to the smaller id.
 
     ``measure``: ``ip`` (inner product) or ``cosine`` (stored norms divide the approximate score). Each query scores
-    ``rerank`` codes of each block exactly, a fixed share of the index at any size.
+    ``rerank`` different vectors of each block exactly, and all that tie with the last of them: a fixed share of the
+    index at any size. Copies of a vector count once and bring their smallest ids.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,25 +163,32 @@ def search(index: DataFrame, quantiser: Quantiser, queries: DataFrame, top: int,
                 v, q = get("vectors", "<f8").reshape(len(ids), -1), get("q_vectors", "<f8").reshape(len(qid), -1)
                 codes, norms = get("codes", np.uint8).reshape(len(ids), -1), get("norms", "<f4")
                 tables = quantiser.tables(q)
-                keep = min(rerank, len(ids))
+                kind, members, spare = copies(ids, v, top)
+                v, codes, norms = v[kind], codes[kind], norms[kind]
+                keep = min(rerank, len(v))
                 out: tuple[list, list, list] = ([], [], [])
                 for a in range(0, len(qid), 128):
-                    part = qid[a : a + 128]
-                    approx = np.zeros((len(part), len(ids)), np.float32)
+                    approx = np.zeros((len(qid[a : a + 128]), len(v)), np.float32)
                     for m in range(codes.shape[1]):
                         approx += tables[m, a : a + 128][:, codes[:, m]]
                     if measure == "cosine":
                         approx /= np.sqrt(np.maximum(norms, 1e-20))
-                    best = np.argpartition(approx, len(ids) - keep, axis=1)[:, len(ids) - keep :]
-                    exact = np.einsum("qd,qkd->qk", q[a : a + 128], v[best])
-                    if measure == "cosine":
-                        exact /= np.linalg.norm(q[a : a + 128], axis=1)[:, None] * np.linalg.norm(v[best], axis=2)
-                    got = ids[best]
-                    exact[got == part[:, None]] = -np.inf
-                    order = np.lexsort((got, -exact), axis=1)[:, :top]
-                    out[0].append(np.repeat(part, order.shape[1]))
-                    out[1].append(np.take_along_axis(got, order, 1).ravel())
-                    out[2].append(np.take_along_axis(exact, order, 1).ravel())
+                    every = highest(approx, keep)
+                    step = max(1, 128 * rerank // max(every.shape[1], 1))  # ties may make many
+                    for z in range(0, len(every), step):
+                        best, part, asked = every[z : z + step], qid[a : a + 128][z : z + step], q[a : a + 128][z : z + step]
+                        exact = np.einsum("qd,qkd->qk", asked, v[best])
+                        if measure == "cosine":
+                            exact /= np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(v[best], axis=2)
+                        first = highest(exact, min(top + spare, exact.shape[1]))
+                        held = members[np.take_along_axis(best, first, 1)]
+                        exact = np.broadcast_to(np.take_along_axis(exact, first, 1)[:, :, None], held.shape).reshape(len(part), -1).copy()
+                        got = np.where(held < 0, 0, ids[held]).reshape(len(part), -1)
+                        exact[(got == part[:, None]) | (held < 0).reshape(len(part), -1)] = -np.inf
+                        order = np.lexsort((got, -exact), axis=1)[:, :top]
+                        out[0].append(np.repeat(part, order.shape[1]))
+                        out[1].append(np.take_along_axis(got, order, 1).ravel())
+                        out[2].append(np.take_along_axis(exact, order, 1).ravel())
                 a, b, s = (np.concatenate(x) if x else np.zeros(0) for x in out)
                 ok = s > -np.inf
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok].astype(np.int64)), pa.array(b[ok].astype(np.int64)), pa.array(s[ok].astype(np.float64))], ["query_id", "vec_id", "score"])
