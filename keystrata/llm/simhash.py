@@ -58,8 +58,8 @@ def _normal(raw: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray, np.ndar
     return out.tobytes(), place[np.flatnonzero(first)], place[np.flatnonzero(last)] + 1, counts
 
 
-def fingerprints(raw: np.ndarray, at: np.ndarray, shingle: int = 4, seed: int = 42) -> np.ndarray:
-    """The unsigned 64-bit SimHash of each text: bit b is set if over half the shingle hashes have it; no words: zero."""
+def shingles(raw: np.ndarray, at: np.ndarray, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the word shingles of all texts, repeats among them, the text of each, and their number in each text; fewer words make one shingle."""
     text, begin, end, counts = _normal(raw, at)
     n, base = len(counts), np.concatenate(([0], np.cumsum(counts)))
     each = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
@@ -67,7 +67,13 @@ def fingerprints(raw: np.ndarray, at: np.ndarray, shingle: int = 4, seed: int =
     first = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
     final = np.minimum(first + shingle, base[owner + 1]) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(text[a:b], seed) for a, b in zip(begin[first].tolist(), end[final].tolist(), strict=True)], np.uint64)
+    return np.array([digest(text[a:b], seed) for a, b in zip(begin[first].tolist(), end[final].tolist(), strict=True)], np.uint64), owner, each
+
+
+def fingerprints(raw: np.ndarray, at: np.ndarray, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The unsigned 64-bit SimHash of each text: bit b is set if over half the shingle hashes have it; no words: zero."""
+    h, owner, each = shingles(raw, at, shingle, seed)
+    n = len(each)
     octets = h.astype("<u8").view(np.uint8).reshape(-1, 8)
     bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
     ones = np.zeros((n, 64), np.int64)
@@ -247,6 +253,10 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays (of equal rows all, of null ids all)."""
-    keep = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """Pipeline stage: of each component of similar texts the document with the smallest doc_id stays (of equal rows all; of null ids none).
+
+    The contract's 4 bits of 64 are op1's alone: this stage links by the similarity of shingles.
+    """
+    from keystrata.llm.similar import one_of_each, similar
+
+    return one_of_each(docs, similar(docs))
