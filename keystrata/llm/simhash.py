@@ -253,7 +253,7 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of similar texts the document with the smallest doc_id stays (of equal rows all; of null ids none).
+    """Pipeline stage: of each component of similar texts the document with the smallest doc_id stays (of equal rows all; of null ids one, where no other is in the component).
 
     The contract's 4 bits of 64 are op1's alone: this stage links by the similarity of shingles.
     """
