@@ -3,12 +3,14 @@
 The byte-level pre-tokeniser never joins characters across the start of a run of white space, so a text's
 ids are those of its chunks (white space and what follows up to the next white space) one after the other.
 Distinct chunks of a batch are encoded joined in long strings and told apart by the lengths of their
-tokens, of which each character stands for a byte.
+tokens, of which each character stands for a byte. The strings of special tokens are found before that: each is one id,
+and the texts before and after it are encoded on their own, as the library does by default.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,19 @@ _WHITE[list(_BLANK)] = True
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """``special``: whether the strings of special tokens become their ids; if not, they are ordinary text."""
+
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        if any(t.lstrip or t.rstrip or t.single_word or set(t.content.encode()) & _BLANK for t in added):
+            raise ValueError("added tokens that take in white space are not supported")
+        strings = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.marks = re.compile(b"|".join(map(re.escape, strings))) if strings else None
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -66,6 +75,12 @@ class Encoder:
         start[1:] &= ~white[:-1] & (raw[:-1] < 0x80)
         start[2:] |= white[2:] & (raw[1:-1] >= 0x80) & (raw[:-2] >= 0xC3) & (raw[:-2] <= 0xDF)
         start[at[:-1][at[:-1] < len(raw)]] = True
+        if self.marks is not None:
+            for m in self.marks.finditer(raw):
+                # one that runs on into the next text is none
+                if at[np.searchsorted(at, m.start(), "right")] >= m.end():
+                    start[m.start()] = True
+                    start[m.end() : m.end() + 1] = True
         begin = np.flatnonzero(start)
         offsets = np.append(begin, len(raw)).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
@@ -85,9 +100,9 @@ class Encoder:
         return ids, np.diff(total[np.searchsorted(begin, at)])
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """This worker's encoder for the tokenizer file at ``path``."""
     cache = worker_cache()
-    if ("bpe", path) not in cache:
-        cache["bpe", path] = Encoder(path)
-    return cache["bpe", path]
+    if ("bpe", path, special) not in cache:
+        cache["bpe", path, special] = Encoder(path, special)
+    return cache["bpe", path, special]

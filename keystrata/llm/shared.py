@@ -42,6 +42,12 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def folder(spark: SparkSession, path: str) -> None:
+    """Makes the folder ``path`` where it is missing, on whatever file system Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+
 def session_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
