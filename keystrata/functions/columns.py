@@ -19,10 +19,37 @@ def key_text(kind: str, c: Column) -> Column:
     return F.when(c.isNotNull(), render(kind, c))
 
 
+def _hundredths(part: Column) -> Column:
+    """100 * part rounded to a whole number, halves to even, for 0 <= part < 1: the product is taken with its rounding error, so nothing is lost."""
+
+    def rounded(v: Column) -> Column:
+        p, whole = v["p"], F.floor(v["p"])
+        beyond = (p - whole - 0.5) + v["e"]  # both parts are exact, so the sum's sign is right
+        up = F.when(beyond > 0, 1).when(beyond < 0, 0).otherwise(F.pmod(whole, F.lit(2)))
+        return whole + up
+
+    def product(x: Column) -> Column:
+        high = let(x * 134217729.0, lambda t: t - (t - x))  # the upper half of the digits
+        return let(high, lambda h: F.struct((x * 100.0).alias("p"), ((h * 100.0 - x * 100.0) + (x - h) * 100.0).alias("e")))
+
+    return let(let(part, product), rounded)
+
+
+def _two_decimals(c: Column) -> Column:
+    """A finite double's text with two decimals as C prints it: of its exact binary value, halves to even; beyond 2**124 with its shortest digits and zeros."""
+    size = F.abs(c)
+    sign = F.when((c < 0) | (c.cast("string") == "-0.0"), "-").otherwise("")
+    small = let(size, lambda x: let(F.struct(x.cast("long").alias("i"), _hundredths(x - x.cast("long")).alias("n")), lambda v: F.concat((v["i"] + F.floor(v["n"] / 100)).cast("string"), F.lit("."), F.lpad((v["n"] % 100).cast("string"), 2, "0"))))
+    # a double from 2**53 on is whole: two halves of 62 bits each are exact
+    step = float(1 << 62)
+    large = let(size, lambda x: F.concat(((F.floor(x / step).cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)")) + (x - F.floor(x / step) * step).cast("long").cast("decimal(19,0)")).cast("decimal(38,0)").cast("string"), F.lit(".00")))
+    return F.concat(sign, F.when(size < step, small).when(size < float(1 << 124), large).otherwise(F.format_string("%.2f", size)))
+
+
 def render(kind: str, c: Column) -> Column:
-    """``values.render`` of a column. FLOAT rounds half up on the decimal value, exact for inputs of up to two decimals."""
+    """``values.render`` of a column."""
     if kind == FLOAT:
-        text = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(F.format_string("%.2f", c))
+        text = F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(_two_decimals(c.cast("double")))
     elif kind == BOOL:
         text = F.when(c, "TRUE").otherwise("FALSE")
     else:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +12,8 @@ from keystrata.functions.columns import FNV_BASIS, FNV_PRIME, MIX, fnv1a, let, m
 
 #: Every how many keys the sparse index has an entry; bits for each key, least bits and hashes of the filter.
 SPARSE_INTERVAL, BITS_PER_KEY, LEAST_BITS, HASHES = 16, 10, 64, 7
+#: Bytes of a filter that a plan holds as a value.
+LITERAL = 1 << 20
 
 
 def segment_stats(rows: DataFrame, segment: str, key: str = "k") -> DataFrame:
@@ -63,37 +63,39 @@ class BloomFilter:
 
     @classmethod
     def build(cls, rows: DataFrame, key: str = "k", entries: int | None = None) -> BloomFilter:
-        """A filter of the keys of ``rows``, sized for ``entries`` or their number. Partitions set bits of their own, which are then merged word by word."""
+        """A filter of the keys of ``rows``, sized for ``entries`` or their number. Words of 64 bits combine before their shuffle."""
         made = cls(rows.count() if entries is None else entries)
-
-        def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[int, int] = {}
-            for frame in frames:
-                at = frame["bit"].to_numpy()
-                for word, mask in zip((at >> 6).tolist(), (np.uint64(1) << (at & 63).astype(np.uint64)).tolist(), strict=True):
-                    held[word] = held.get(word, 0) | mask
-            values = np.array(list(held.values()), np.uint64).view(np.int64) if held else np.zeros(0, np.int64)
-            yield pd.DataFrame({"word": np.array(list(held), np.int64), "bits": values})
-
-        set_ = rows.where(F.col(key).isNotNull()).select(F.explode(positions(F.col(key), made.bits)).alias("bit"))
-        for r in set_.mapInPandas(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        at = rows.where(F.col(key).isNotNull()).select(F.explode(positions(F.col(key), made.bits)).alias("at"))
+        words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+        for r in words.toLocalIterator():
             made.words[r["word"]] = np.int64(r["bits"]).view(np.uint64)
         return made
 
     def probe(self, rows: DataFrame, key: str = "k", out: str = "maybe") -> DataFrame:
         """``rows`` with a boolean column: whether the key may be in the filter; a null key is not.
 
-        The words travel as a table; Spark sends them around only while they are small.
+        A filter of up to ``LITERAL`` bytes is part of the expression, so the rows are neither joined nor sorted. The words
+        of a larger one travel as a table that meets the keys' positions.
         """
+        if self.words.nbytes <= LITERAL:
+            data = F.lit(self.words.astype("<u8").tobytes())
+            found = let(positions(F.col(key), self.bits), lambda at: F.forall(at, lambda p: self._bit(data, p)))
+            return rows.withColumn(out, F.coalesce(found, F.lit(False)))
         spark = rows.sparkSession
         used = np.flatnonzero(self.words)
         table = spark.createDataFrame(pd.DataFrame({"_word": used, "_bits": self.words[used].view(np.int64)}), "_word long, _bits long")
-        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-        asked = numbered.where(F.col(key).isNotNull()).select("_row", F.explode(F.array_distinct(positions(F.col(key), self.bits))).alias("_bit"))
-        miss = asked.withColumn("_word", F.shiftright("_bit", 6)).join(table, "_word", "left")
+        keys = rows.select(F.col(key).alias("_key")).where("_key is not null").distinct()
+        asked = keys.select("_key", F.explode(F.array_distinct(positions(F.col("_key"), self.bits))).alias("_bit"))
+        met = asked.withColumn("_word", F.shiftright("_bit", 6)).join(table, "_word", "left")
         hit = F.expr("shiftrightunsigned(coalesce(_bits, 0L), cast(_bit % 64 as int)) & 1") == 1
-        lost = miss.where(~hit).select("_row").distinct().withColumn("_lost", F.lit(True))
-        return numbered.join(lost, "_row", "left").withColumn(out, F.col(key).isNotNull() & F.col("_lost").isNull()).drop("_row", "_lost")
+        sure = met.groupBy("_key").agg(F.bool_and(hit).alias(out))
+        return rows.join(sure, F.col(key) == F.col("_key"), "left").drop("_key").withColumn(out, F.coalesce(out, F.lit(False)))
+
+    @staticmethod
+    def _bit(data: Column, at: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(data, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)
+        return byte.bitwiseAND(mask) > 0
 
     def contains(self, key: str) -> bool:
         """Whether one key may be in the filter, on the driver."""

@@ -38,3 +38,11 @@ def valid_prefix(log: DataFrame, stored: str = "crc") -> DataFrame:
 def replay(log: DataFrame, stored: str = "crc") -> DataFrame:
     """k, v after the valid prefix is applied in order."""
     return merged(valid_prefix(log, stored).select("k", "seq", "op", "v")).select("k", "v")
+
+
+def flipped(log: DataFrame, seq: int) -> DataFrame:
+    """``log`` in which the first byte of one record's key is inverted, its checksum left: what a damaged disk does to it."""
+    first = F.conv(F.hex(F.substring(F.col("k").cast("binary"), 1, 1)), 16, 10).cast("int")
+    other = F.unhex(F.lpad(F.hex(first.bitwiseXOR(0xFF)), 2, "0"))
+    broken = F.concat(other, F.substring(F.col("k").cast("binary"), F.lit(2), F.octet_length("k"))).cast("string")
+    return log.withColumn("k", F.when(F.col("seq") == seq, broken).otherwise(F.col("k")))

@@ -11,30 +11,35 @@ from pyspark.sql import functions as F
 PUT, DELETE = "PUT", "DELETE"
 
 
-def latest(versions: DataFrame, key: str = "k", seq: str = "seq", op: str = "op") -> DataFrame:
-    """The last version of each key, deleted keys included; of versions with equal numbers the one that compares largest.
+def latest(versions: DataFrame, key: str = "k", seq: str = "seq", ties: bool = True) -> DataFrame:
+    """The last version of each key, deleted keys included. A null key is a key like any other.
 
-    One aggregation that combines before its shuffle, so a hot key travels once for each map task. A null key
-    is a key like any other.
+    The largest number of each key is a hash aggregation that combines before its shuffle; the versions that have it are
+    then a join, which sends the numbers around where they are few and which Spark can split where a key is hot.
+    Payloads are in no aggregation buffer. ``ties``: of versions of a key with equal numbers the one that compares largest is
+    taken, at the cost of a further aggregation; false where (key, number) is unique, as in a store.
     """
+    last = versions.groupBy(F.col(key).alias("_last_key")).agg(F.max(seq).alias("_last_seq"))
+    won = versions.join(last, F.col(key).eqNullSafe(F.col("_last_key")) & F.col(seq).eqNullSafe(F.col("_last_seq")), "left_semi")
+    if not ties:
+        return won
     payload = [c for c in versions.columns if c not in (key, seq)]
-    packed = versions.select(key, F.struct(F.col(seq), *[F.col(f"`{c}`") for c in payload]).alias("_v"))
-    won = packed.groupBy(key).agg(F.max("_v").alias("_v"))
-    return won.select(*[F.col(key) if c == key else F.col("_v")[c].alias(c) for c in versions.columns])
+    packed = won.select(key, seq, F.struct(*[F.col(f"`{c}`") for c in payload]).alias("_v")).groupBy(key, seq).agg(F.max("_v").alias("_v"))
+    return packed.select(*[F.col(f"`{c}`") if c in (key, seq) else F.col("_v")[c].alias(c) for c in versions.columns])
 
 
-def merged(versions: DataFrame, key: str = "k", seq: str = "seq", op: str = "op") -> DataFrame:
+def merged(versions: DataFrame, key: str = "k", seq: str = "seq", op: str = "op", ties: bool = True) -> DataFrame:
     """The live rows: latest versions without deleted keys."""
-    return latest(versions, key, seq, op).where(F.col(op) == PUT)
+    return latest(versions, key, seq, ties).where(F.col(op) == PUT)
 
 
-def merge_on_read(base: DataFrame, delta: DataFrame, key: str = "k", seq: str = "seq", op: str = "op") -> DataFrame:
+def merge_on_read(base: DataFrame, delta: DataFrame, key: str = "k", seq: str = "seq", op: str = "op", ties: bool = True) -> DataFrame:
     """``base`` (one live row a key, payload columns and key) under ``delta`` (versions, all newer).
 
     Predicates on payload columns reach the base's scan, as they can't through an aggregation. The join
     sends the delta's keys around only while Spark finds them small; a large delta shuffles.
     """
-    newest = latest(delta, key, seq, op)
+    newest = latest(delta, key, seq, ties)
     columns = base.columns
     return base.join(newest.select(key), key, "left_anti").select(columns).unionByName(newest.where(F.col(op) == PUT).select(columns))
 

@@ -63,8 +63,8 @@ def answer(kind: int, key: str, value: str, store: KVStore, session: Session) ->
         if kind == SQL:
             result = session.sql(key)
             return response(OK, result.to_wire()) if result.ok else response(ERROR, result.message.encode())
-    except InvalidArgument as e:
-        return response(ERROR, str(e).encode())
+    except Exception as e:  # a request that fails must not end the connection
+        return response(ERROR, str(e).encode("utf-8", "replace"))
     return response(ERROR, b"unknown request")
 
 
@@ -74,8 +74,13 @@ class _Handler(socketserver.StreamRequestHandler):
             kind, k, v = struct.unpack("<BII", head)
             if k > MAX_KEY or v > MAX_VALUE or (body := _exactly(self.rfile.read, k + v)) is None:
                 return
+            try:
+                key, value = body[:k].decode(), body[k:].decode()
+            except UnicodeDecodeError as e:
+                self.wfile.write(response(ERROR, str(e).encode()))
+                continue
             with self.server.lock:
-                self.wfile.write(answer(kind, body[:k].decode(), body[k:].decode(), self.server.store, self.server.session))
+                self.wfile.write(answer(kind, key, value, self.server.store, self.server.session))
 
 
 class Server(socketserver.ThreadingTCPServer):
@@ -162,14 +167,30 @@ class _Reader:
         return self.data[self.at - n : self.at].decode()
 
 
+#: A workbench: a statement, its result as a table with the time taken, and the statements so far.
+PAGE = """<!doctype html><meta charset="utf-8"><title>keystrata</title>
+<style>body{font:14px sans-serif;margin:2em}textarea{width:100%;height:6em}td,th{border:1px solid #999;padding:2px 6px}li{cursor:pointer}</style>
+<textarea id="sql">SHOW TABLES</textarea><p><button id="run">Run</button> <span id="say"></span></p><table id="out"></table><h4>History</h4><ol id="past"></ol>
+<script>
+const $ = id => document.getElementById(id), row = (cells, kind) => { const r = $("out").insertRow(); for (const c of cells) { const x = document.createElement(kind); x.textContent = c; r.append(x) } }
+$("run").onclick = async () => {
+  const sql = $("sql").value, began = performance.now()
+  const r = await (await fetch("/api/sql", {method: "POST", body: JSON.stringify({sql})})).json()
+  $("say").textContent = `${r.message} (${Math.round(performance.now() - began)} ms)`
+  $("out").replaceChildren(); if (r.columns?.length) { row(r.columns, "th"); r.rows.forEach(c => row(c, "td")) }
+  const li = document.createElement("li"); li.textContent = sql; li.onclick = () => { $("sql").value = sql }; $("past").prepend(li)
+}
+</script>"""
+
+
 def http_server(session: Session, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
-    """``POST /api/sql`` with {"sql": text}, ``GET /api/health``; not started."""
+    """``POST /api/sql`` with {"sql": text}, ``GET /api/health``, and a page to type statements in at ``/``; not started."""
     lock = threading.Lock()
 
     class Handler(BaseHTTPRequestHandler):
-        def _send(self, code: int, body: str = "") -> None:
+        def _send(self, code: int, body: str = "", kind: str = "application/json") -> None:
             self.send_response(code)
-            for name, value in (("Content-Type", "application/json"), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Headers", "Content-Type"), ("Access-Control-Allow-Methods", "GET, POST, OPTIONS"), ("Content-Length", str(len(body.encode())))):
+            for name, value in (("Content-Type", kind), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Headers", "Content-Type"), ("Access-Control-Allow-Methods", "GET, POST, OPTIONS"), ("Content-Length", str(len(body.encode())))):
                 self.send_header(name, value)
             self.end_headers()
             self.wfile.write(body.encode())
@@ -179,7 +200,11 @@ def http_server(session: Session, host: str = "127.0.0.1", port: int = 0) -> Thr
 
         def do_GET(self) -> None:
             if self.path == "/api/health":
-                self._send(200, json.dumps({"ok": True}))
+                with lock:
+                    ok = session.sql("SHOW TABLES").ok
+                self._send(200, json.dumps({"ok": ok, "status": "connected" if ok else "disconnected"}))
+            elif self.path == "/":
+                self._send(200, PAGE, "text/html; charset=utf-8")
             else:
                 self._send(404, json.dumps({"ok": False, "message": "Not found"}))
 
@@ -190,13 +215,13 @@ def http_server(session: Session, host: str = "127.0.0.1", port: int = 0) -> Thr
                 text = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0)))).get("sql")
             except (ValueError, AttributeError):
                 text = None
-            if not isinstance(text, str):
-                return self._send(400, json.dumps({"ok": False, "message": "Missing sql field"}))
+            if not isinstance(text, str) or not text:
+                return self._send(400, json.dumps({"ok": False, "message": "Missing \"sql\" field"}))
             try:
                 with lock:
                     self._send(200, session.sql(text).to_json())
             except Exception as e:  # the bridge answers whatever happens
-                self._send(500, json.dumps({"ok": False, "message": str(e)}))
+                self._send(500, json.dumps({"ok": False, "message": str(e), "columns": [], "rows": []}))
 
         def log_message(self, *_) -> None:
             pass

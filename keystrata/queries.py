@@ -28,9 +28,11 @@ ORACLE: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder for a session's catalog, on storage that executors share where the session names one."""
+    """A new folder for a session's catalog, on the storage that ``spark.checkpoint.dir`` names; a local master may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="keystrata-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         root = f"file://{made}"
@@ -230,10 +232,27 @@ def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", mix32(F.col("c_name")).alias("h"))
 
 
-@_frame("bloom_probe", "select c_name as k, true as maybe from customer")
+def _hashed(table: str) -> str:
+    """SQL: k and both hashes of the ASCII texts k of ``table``."""
+    octets = "list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::ubigint)"
+    fnv = f"list_reduce(list_prepend(2166136261::ubigint, {octets}), lambda h, c: (xor(h, c) * 16777619::ubigint) % {_W})"
+    mixed = f"list_reduce(list_prepend({_M}, {octets}), lambda h, c: xor((h * {_M}) % {_W}, (xor({_K}, {_K} >> 24) * {_M}) % {_W}))"
+    return f"(select k, a, xor(g, g >> 15) b, (select greatest(64, 10 * count(*)) from customer) m from (select k, a, (xor(h, h >> 13) * {_M}) % {_W} g from (select k, {fnv} a, {mixed} h from {table})))"
+
+
+_PLACES = "list_transform(range(0, 7), lambda i: (a + i * b) % 4294967296 % m)"
+
+
+@_frame(
+    "bloom_probe",
+    f"with ours as (select c_name k from customer), asked as (select k from ours union all select 'miss_' || c_custkey::varchar from customer), bits as (select distinct unnest({_PLACES}) p from {_hashed('ours')}) "
+    f"select k, bool_and(p in (select p from bits)) maybe from (select k, unnest({_PLACES}) p from {_hashed('asked')}) group by k",
+)
 def _bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("k"))
-    return indexes.BloomFilter.build(rows).probe(rows)
+    """All customers' names, and as many keys that are not in the filter."""
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows = names.select(F.col("c_name").alias("k"))
+    return indexes.BloomFilter.build(rows).probe(rows.union(names.select(F.concat(F.lit("miss_"), F.col("c_custkey").cast("string")))))
 
 
 def broken_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,3 +275,13 @@ def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_frame("render_text", "select o_orderkey, printf('%.2f', o_totalprice) as text from orders")
 def _render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", render(FLOAT, F.col("o_totalprice")).alias("text"))
+
+
+@_frame("recovery_simulation", f"select k, arg_max(v, seq) filter (where true) v from {_VERSIONS} where seq < 500 group by k having arg_max(op, seq) = 'PUT'")
+def _simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte of event 500 is inverted: replay ends before it."""
+    m = mutations(spark, sf_dir)
+    return log.replay(log.flipped(m.withColumn("crc", log.checksum(F.col("op"), F.col("k"), F.col("v"))), 500))
+
+
+from keystrata import interfaces  # noqa: E402, F401 (registers more)

@@ -28,6 +28,10 @@ class StatementError(ValueError):
     pass
 
 
+def _first_line(e: Exception) -> str:
+    return (str(e).strip() or type(e).__name__).splitlines()[0]
+
+
 @dataclass
 class Result:
     """A statement's outcome. ``df`` is lazy; ``rows`` and the message of a SELECT run it once."""
@@ -85,18 +89,20 @@ class Session:
     """Runs the dialect over a catalog folder.
 
     ``lenient`` ignores what follows a complete statement. Identifiers keep their case; the Spark session's
-    ``spark.sql.caseSensitive`` is left alone, so two columns that differ in case alone need it set.
+    ``spark.sql.caseSensitive`` is left alone, so a table with two columns that differ in case alone is refused unless it is set.
     """
 
     def __init__(self, spark: SparkSession, root: str, lenient: bool = False):
         self.spark, self.lenient, self.catalog = spark, lenient, Catalog(spark, root)
 
     def sql(self, text: str) -> Result:
-        """Never raises for a bad statement: the result says what is wrong."""
+        """Never raises: the result says what is wrong. The rows of a SELECT are fetched when they are asked for."""
         try:
             statement = parse(text, self.lenient)
         except ParseError as e:
             return Result(INVALID_ARGUMENT, f"Parse error: SQL parse error: {e}")
+        except Exception as e:  # nothing that a text can hold may end a server
+            return Result(INVALID_ARGUMENT, f"Parse error: {_first_line(e)}")
         return self.execute(statement)
 
     def execute(self, statement: S.Statement) -> Result:
@@ -107,6 +113,8 @@ class Session:
             return Result(INVALID_ARGUMENT, str(e))
         except UnsupportedColumn as e:
             return Result(INVALID_ARGUMENT, f"Execution error: {e}")
+        except Exception as e:  # whatever fails below: storage, Spark
+            return Result(INVALID_ARGUMENT, f"Execution error: {_first_line(e)}")
 
     def select(self, text: str) -> DataFrame:
         """A SELECT as a DataFrame, in no order unless the text gives one; raises for a bad statement."""
@@ -149,6 +157,8 @@ class Session:
             raise StatementError(f"Table '{s.name}' already exists")
         if len({c.name for c in s.columns}) < len(s.columns):
             raise StatementError("column names must differ")
+        if self.spark.conf.get("spark.sql.caseSensitive") != "true" and len({c.name.lower() for c in s.columns}) < len(s.columns):
+            raise StatementError("columns whose names differ in case alone need spark.sql.caseSensitive")
         self.catalog.create(s.name, list(s.columns), s.primary_key)
         return Result(text=f"Table '{s.name}' created.")
 
@@ -238,11 +248,13 @@ class Session:
     def _change(self, t: Table, changed: DataFrame, op: str) -> int:
         """Writes new versions of ``changed`` (_key and the columns), small changes through the log; how many."""
         columns = [F.col("_key"), *[F.col(f"`{c}`") for c in t.kinds]]
-        few = changed.select(columns).limit(SMALL_CHANGE + 1).collect() if None not in t.kinds.values() else None
-        if few is not None and len(few) <= SMALL_CHANGE:
-            t.store.apply([(op, r[0], tuple(r)[1:] if op == PUT else None) for r in few])
-            return len(few)
-        return t.store.append(changed.select(columns).withColumn("_op", F.lit(op)))
+        rows, n, aside = t.store.staged(changed.select(columns))  # the scan and the filter run once
+        if n <= SMALL_CHANGE and None not in t.kinds.values():
+            t.store.apply([(op, r[0], tuple(r)[1:] if op == PUT else None) for r in rows.collect()])
+        else:
+            t.store.append(rows.withColumn("_op", F.lit(op)))
+        t.store.files.delete(aside)
+        return n
 
     def _update(self, s: S.Update) -> Result:
         t = self._writable(s.table)

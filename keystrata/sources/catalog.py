@@ -38,8 +38,7 @@ class Catalog:
         self.spark, self.files = spark, Files(spark, root)
         self.tables: dict[str, Table] = {}
         for folder in self.files.list("tables"):
-            if self.files.exists(f"tables/{folder}/schema.json"):
-                self._open(unquote(folder), json.loads(self.files.read(f"tables/{folder}/schema.json")))
+            self.get(unquote(folder))
 
     def _folder(self, name: str) -> str:
         return f"tables/{quote(name, safe='')}"
@@ -65,13 +64,13 @@ class Catalog:
 
     def get(self, name: str) -> Table | None:
         """A table by its exact name, from memory or from its schema file."""
-        if name not in self.tables and self.files.exists(f"{self._folder(name)}/schema.json"):
-            self._open(name, json.loads(self.files.read(f"{self._folder(name)}/schema.json")))
+        if name not in self.tables and (schema := self.files.published(f"{self._folder(name)}/schema.json")) is not None:
+            self._open(name, json.loads(schema))
         return self.tables.get(name)
 
     def create(self, name: str, columns: list[Column], primary_key: str | None, path: str | None = None) -> Table:
         schema = {"columns": [asdict(c) for c in columns], "primary_key": primary_key, "path": path, "next_rowid": 1}
-        self.files.write(f"{self._folder(name)}/schema.json", json.dumps(schema).encode())
+        self.files.publish(f"{self._folder(name)}/schema.json", json.dumps(schema).encode())
         return self._open(name, schema)
 
     def register(self, name: str, path: str, primary_key: str | None = None) -> Table:
@@ -90,7 +89,7 @@ class Catalog:
     def next_row_id(self, name: str) -> int:
         """A number for a new row, from 1; explicit keys do not advance it."""
         place = f"{self._folder(name)}/schema.json"
-        schema = json.loads(self.files.read(place))
+        schema = json.loads(self.files.published(place))
         n = schema["next_rowid"]
-        self.files.write(place, json.dumps(schema | {"next_rowid": n + 1}).encode())
+        self.files.publish(place, json.dumps(schema | {"next_rowid": n + 1}).encode())
         return n

@@ -1,6 +1,6 @@
 """A versioned keyed store: a memtable and its log on the driver, immutable Parquet segments below.
 
-Folder layout: ``manifest.json`` (the list of segments, put in place by a rename), ``seg-<n>`` (sorted Parquet with
+Folder layout: ``manifest.json.<n>`` (the list of segments; the largest number counts), ``seg-<n>`` (sorted Parquet with
 columns _key, _seq, _op and the payload), ``wal/<n>.log`` (the log of the memtable), ``quarantine/``.
 A reader holds the segments of the manifest it read; a merge writes a new segment and a new manifest, never over a file in use.
 """
@@ -8,6 +8,7 @@ A reader holds the segments of the manifest it read; a merge writes a new segmen
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,8 @@ class Store:
         self.schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("_seq", T.LongType()), T.StructField("_op", T.StringType()), *payload.fields])
         self.memtable: dict[str, tuple[int, str, tuple | None, int]] = {}
         self.quarantined: list[str] = []
-        state = json.loads(self.files.read("manifest.json")) if self.files.exists("manifest.json") else {"segments": [], "seq": 0, "flushed": 0}
+        self.memory_bytes = 0
+        state = json.loads(self.files.published("manifest.json") or '{"segments": [], "seq": 0, "flushed": 0}')
         self.segments: list[dict] = state["segments"]
         self.seq: int = state["seq"]
         self._logged: int = state["flushed"]
@@ -87,12 +89,9 @@ class Store:
 
     # writing
 
-    @property
-    def memory_bytes(self) -> int:
-        return sum(len(k.encode()) + size for k, (_, _, _, size) in self.memtable.items())
-
     def _hold(self, key: str, op: str, row: tuple | None, size: int) -> None:
         self.seq += 1
+        self.memory_bytes += size - self.memtable[key][3] if key in self.memtable else len(key.encode()) + size
         self.memtable[key] = (self.seq, op, row, size)
 
     def apply(self, changes: Iterable[tuple[str, str, tuple | None]]) -> None:
@@ -120,6 +119,13 @@ class Store:
             self.compact()
         return n
 
+    def staged(self, rows: DataFrame) -> tuple[DataFrame, int, str]:
+        """``rows`` written aside once, their number, and the folder's name: what follows reads them from there."""
+        name = f"aside-{uuid.uuid4().hex}"
+        rows.write.parquet(self.files.full(name))
+        written = self.spark.read.schema(rows.schema).parquet(self.files.full(name))
+        return written, written.count(), name
+
     def flush(self) -> None:
         """The memtable becomes a segment, deletions included; its log goes."""
         if not self.memtable:
@@ -127,6 +133,7 @@ class Store:
         rows = [(k, seq, op, *(row or (None,) * len(self.payload))) for k, (seq, op, row, _) in sorted(self.memtable.items())]
         self._write(self.spark.createDataFrame(rows, self.schema))
         self.memtable.clear()
+        self.memory_bytes = 0
         for name in self.files.list("wal"):
             self.files.delete(f"wal/{name}")
 
@@ -140,28 +147,28 @@ class Store:
         sorted_ = rows.select(columns).repartitionByRange("_key").sortWithinPartitions("_key")
         writer = sorted_.write.option("parquet.bloom.filter.enabled#_key", "true")
         writer.parquet(self.files.full(name))
-        n = self._read(name).count()
+        n, low, high = self._read(name).agg(F.count("*"), F.min("_key"), F.max("_key")).first()
         if n or replace:
-            self.segments = ([] if replace else self.segments) + ([{"name": name, "rows": n}] if n else [])
+            self.segments = ([] if replace else self.segments) + ([{"name": name, "rows": n, "low": low, "high": high}] if n else [])
             self._publish(self._logged)
         if not n:
             self.files.delete(name)
         return n
 
     def _publish(self, flushed: int) -> None:
-        self.files.write("manifest.json", json.dumps({"segments": self.segments, "seq": self.seq, "flushed": flushed}).encode())
+        self.files.publish("manifest.json", json.dumps({"segments": self.segments, "seq": self.seq, "flushed": flushed}).encode())
 
     def compact(self) -> None:
         """All segments become one: the latest versions, without deletions where no external base lies below."""
         if not self.segments:
             return
-        won = latest(self._segments(), "_key", "_seq", "_op")
+        won = latest(self._segments(), "_key", "_seq", ties=False)
         self._write(won if self.base is not None else won.where(F.col("_op") == PUT), replace=True)
 
     def vacuum(self) -> list[str]:
-        """Deletes segment folders that the manifest no longer names."""
+        """Deletes segment folders that the manifest no longer names, and what a crash left aside."""
         named = {s["name"] for s in self.segments}
-        old = [n for n in self.files.list() if n.startswith("seg-") and n not in named]
+        old = [n for n in self.files.list() if n.startswith(("seg-", "aside-")) and n not in named]
         for n in old:
             self.files.delete(n)
         return old
@@ -190,16 +197,18 @@ class Store:
         if versions is None:
             return self.spark.createDataFrame([], self.schema).select(quoted) if self.base is None else self.base
         if self.base is not None:
-            return merge_on_read(self.base, versions, "_key", "_seq", "_op")
+            return merge_on_read(self.base, versions, "_key", "_seq", "_op", ties=False)
         if not self.memtable and len(self.segments) == 1:  # a segment holds a key once
             return versions.where(F.col("_op") == PUT).select(quoted)
-        return latest(versions, "_key", "_seq", "_op").where(F.col("_op") == PUT).select(quoted)
+        return latest(versions, "_key", "_seq", ties=False).where(F.col("_op") == PUT).select(quoted)
 
     def get(self, key: str) -> tuple | None:
         """The payload of a live key, or None."""
         if key in self.memtable:
             _, op, row, _ = self.memtable[key]
             return row if op == PUT else None
+        if self.base is None and not any(s["low"] <= key <= s["high"] for s in self.segments):
+            return None  # outside every segment's keys
         row = self.live().where(F.col("_key") == key).drop("_key").head()
         return None if row is None else tuple(row)
 
