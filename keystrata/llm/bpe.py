@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,19 +52,21 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        joined, alone = [], []
-        for c in chunks:
-            safe = c[0] in _BLANK and c[-1] not in _BLANK and (c[-1] < 0x80 or (len(c) > 1 and 0xC3 <= c[-2] <= 0xDF))
-            (joined if safe else alone).append(c)
+    def _learn(self, chunks: list[bytes]) -> np.ndarray:
+        """Each chunk's place among the new ones."""
+        safe = [c[0] in _BLANK and c[-1] not in _BLANK and (c[-1] < 0x80 or (len(c) > 1 and 0xC3 <= c[-2] <= 0xDF)) for c in chunks]
+        joined, alone = list(compress(chunks, safe)), [c for c, s in zip(chunks, safe, strict=True) if not s]
         found = self._ids([b"".join(joined[i : i + 256]).decode("utf-8", "replace") for i in range(0, len(joined), 256)])
-        ids = np.fromiter((i for g in found for i in g), np.uint32, sum(map(len, found)))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32)
         ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))), "left") + 1
         found = self._ids([c.decode("utf-8", "replace") for c in alone])
-        more = np.fromiter((i for g in found for i in g), np.uint32, sum(map(len, found)))
+        more = np.fromiter(chain.from_iterable(found), np.uint32)
         self.known.update(zip(joined + alone, range(len(self.known), len(self.known) + len(chunks)), strict=True))
         self.flat = np.concatenate((self.flat, ids, more))
         self.sizes = np.concatenate((self.sizes, np.diff(ends, prepend=0), np.array([len(g) for g in found], np.int64)))
+        kept, place = np.array(safe, bool), np.empty(len(chunks), np.int64)
+        place[kept], place[~kept] = np.arange(len(joined)), len(joined) + np.arange(len(alone))
+        return place
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each."""
@@ -85,13 +88,13 @@ class Encoder:
         offsets = np.append(begin, len(raw)).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         distinct = chunks.dictionary.to_pylist()
-        missing = [c for c in distinct if c not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > CACHE:
+        numbers = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            if len(self.known) + len(new) > CACHE:
                 self._forget()
-                missing = distinct
-            self._learn(missing)
-        numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+                new = np.arange(len(distinct))
+            numbers[new] = len(self.known) + self._learn([distinct[i] for i in new.tolist()])
         sizes, starts = self.sizes[numbers], (np.cumsum(self.sizes) - self.sizes)[numbers]
         index = chunks.indices.to_numpy()
         each = sizes[index]

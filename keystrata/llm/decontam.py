@@ -10,8 +10,10 @@ no word's list is ever gathered from the whole corpus, and a lost segment is reb
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.llm.shared import buffers, pack, scratch, slices, unpack
+from keystrata.llm.shared import buffers, pack, scratch, slices, stored, tidied, unpack
 
 WINDOW = 10
-#: Text bytes of a segment; benchmark text bytes that one pass sends to the executors.
-SEGMENT_BYTES, PASS_BYTES = 12 << 20, 32 << 20
+#: Text bytes of a segment; benchmark text bytes that one pass sends to the executors (about 30 MB there, and 200 MB on the driver).
+SEGMENT_BYTES, PASS_BYTES = 12 << 20, 2 << 20
 #: Positions between two documents of a segment, more than any phrase or proximity window spans.
 GAP = 1024
 
@@ -64,7 +66,7 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the index of ``docs`` to ``path``: a row a segment with keys, n_words, and terms, freqs, postings packed."""
+    """Writes the index of ``docs`` to ``path``: a row a segment with its name, keys, n_words, and terms, freqs, postings packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,11 +84,11 @@ def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                 blobs = [pa.array([pack(a)], pa.binary()) for a in (h[first], freq, step)]
                 keys = part.column("key")
                 lists = [pa.ListArray.from_arrays([0, len(keys)], keys), pa.ListArray.from_arrays([0, len(n)], pa.array(n))]
-                yield pa.RecordBatch.from_arrays([*lists, *blobs], ["keys", "n_words", "terms", "freqs", "postings"])
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *lists, *blobs], ["segment", "keys", "n_words", "terms", "freqs", "postings"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    rows.mapInArrow(run, f"keys array<{kind}>, n_words array<bigint>, terms binary, freqs binary, postings binary").write.parquet(path)
+    rows.mapInArrow(tidied(run), f"segment string, keys array<{kind}>, n_words array<bigint>, terms binary, freqs binary, postings binary").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -170,7 +172,7 @@ def queries_of(items: list[tuple[object, str | None]], window: int = WINDOW) ->
 
 
 def _passes(items: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
-    """The rows (item, text) in blocks of at most about PASS_BYTES; the driver holds one block at a time."""
+    """The rows (item, text) in blocks of at most about PASS_BYTES."""
     block, held = [], 0
     for r in items.toLocalIterator():
         block.append((r[0], r[1]))
@@ -192,7 +194,7 @@ def search(index: DataFrame, items: DataFrame, slop: int | None = None, window:
     """
     kind = index.schema["keys"].dataType.elementType
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]))
-    schema = T.StructType([T.StructField("key", kind), T.StructField("n_words", T.LongType()), T.StructField("spans", spans)])
+    schema = T.StructType([T.StructField("segment", T.StringType()), T.StructField("place", T.LongType()), T.StructField("key", kind), T.StructField("n_words", T.LongType()), T.StructField("spans", spans)])
     arrow_spans = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("items", pa.list_(pa.string()))])
 
     def searching(q: Queries):
@@ -215,19 +217,25 @@ def search(index: DataFrame, items: DataFrame, slop: int | None = None, window:
                     for s, e, ids in found:
                         d = int(np.searchsorted(base, s, "right")) - 1
                         out.setdefault(d, []).append({"start": s - int(base[d]), "end": e - int(base[d]), "items": ids})
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array([out.get(d, []) for d in range(len(n))], pa.list_(arrow_spans))], ["key", "n_words", "spans"])
+                    name = pa.array([batch.column("segment")[i].as_py()] * len(n), pa.string())
+                    yield pa.RecordBatch.from_arrays([name, pa.array(np.arange(len(n))), keys, pa.array(n), pa.array([out.get(d, []) for d in range(len(n))], pa.list_(arrow_spans))], ["segment", "place", "key", "n_words", "spans"])
 
         return run
 
-    parts = [index.mapInArrow(searching(queries_of(block, window)), schema) for block in _passes(items)]
-    if len(parts) == 1:
-        return parts[0]
-    # a key's rows meet over the passes; equal keys were told apart by their place in the index
-    placed = [p.withColumn("_at", F.monotonically_increasing_id()) for p in parts]
-    every = placed[0]
-    for p in placed[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("_at").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans")).drop("_at")
+    passes = _passes(items)
+    block, following = next(passes), next(passes, None)
+    found = index.mapInArrow(tidied(searching(queries_of(block, window))), schema)
+    if following is None:
+        return found.select("key", "n_words", "spans")
+    # each pass's hits are a table before the next pass begins; they meet by segment and place
+    hits = [stored(found.where(F.size("spans") > 0).select("segment", "place", "spans"), "hits")]
+    while following is not None:
+        found = index.mapInArrow(tidied(searching(queries_of(following, window))), schema)
+        hits.append(stored(found.where(F.size("spans") > 0).select("segment", "place", "spans"), "hits"))
+        following = next(passes, None)
+    every = reduce(DataFrame.union, hits).groupBy("segment", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    rows = index.select("segment", F.posexplode(F.arrays_zip("keys", "n_words")).alias("place", "d")).select("segment", F.col("place").cast("long").alias("place"), F.col("d.keys").alias("key"), "d.n_words")
+    return rows.join(every, ["segment", "place"], "left").select("key", "n_words", F.coalesce("spans", F.array().cast(spans)).alias("spans"))
 
 
 def covered(spans: F.Column) -> F.Column:

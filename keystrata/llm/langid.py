@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from keystrata.llm.shared import buffers, slices
+from keystrata.llm.shared import buffers, slices, stored
 
 DIM = 4096
 #: Labelled rows of a language that the fit takes on average at most; centroids of a language; rounds of k-means.
@@ -126,18 +127,19 @@ def _floors(cos: np.ndarray, length: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, per_lang: int = FIT_ROWS) -> Model:
     """A model of the columns key, text, lang (no nulls in lang).
 
-    Of each language about ``per_lang`` rows are taken, by a hash of the key, so the driver holds at most a
-    fixed number of sparse vectors for each language, whatever the table's size. Texts without a letter are
-    left out. The floors are those of a fold of the texts against centroids of the others; of a language of
-    few texts, every fold's. No rows: an empty model.
+    Of each language about ``per_lang`` rows are taken, by a hash of the key, and never more than twice as many, so the
+    driver holds at most a fixed number of sparse vectors for each language, whatever the table's size and however often a key
+    repeats. Texts without a letter are left out. The floors are those of a fold of the texts against centroids of the others; of a
+    language of few texts, every fold's. No rows: an empty model. Of centroids at one cosine the first counts, in the
+    order of the languages' names.
     """
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    rate = F.lit(0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1 << 20, int((1 << 20) * per_lang / n) + 1))).otherwise(rate)
-    sample = labelled.where(F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1 << 20)) < rate).where("text is not null")
-
-    few = {lang for lang, n in sizes.items() if n <= FEW}
+    # written first, so that Spark knows how few rows it has
+    sizes = stored(labelled.groupBy("lang").count().withColumnRenamed("count", "of_lang"), "languages")
+    chance = F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1 << 20))
+    rate = F.least(F.lit(1 << 20), (F.lit(float((1 << 20) * per_lang)) / F.col("of_lang")).cast("int") + 1)
+    sample = labelled.join(sizes, "lang").where((chance < rate) & F.col("text").isNotNull())
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(chance, "key", F.xxhash64("text")))
+    sample = sample.withColumn("turn", turn).where(F.col("turn") <= 2 * per_lang).select("key", "text", "lang", (F.col("of_lang") <= FEW).alias("few"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +148,10 @@ def fit(labelled: DataFrame, per_lang: int = FIT_ROWS) -> Model:
                 has = np.flatnonzero(lettered(raw, at)).tolist()
                 texts = [raw[at[i] : at[i + 1]].tobytes() for i in has]
                 folds = [zlib.crc32(t) % FOLDS for t in texts]
-                langs = part.column("lang").to_pylist()
+                few = part.column("few").to_pylist()
                 # (row, fold, the bytes, whether it is fitted)
                 made = [(i, f, t, True) for i, f, t in zip(has, folds, texts, strict=True)]
-                made += [(i, f, r, False) for i, f, t in zip(has, folds, texts, strict=True) if f == 0 or langs[i] in few for r in _runs(t)]
+                made += [(i, f, r, False) for i, f, t in zip(has, folds, texts, strict=True) if f == 0 or few[i] for r in _runs(t)]
                 for start in range(0, len(made), 128):
                     some = made[start : start + 128]
                     raw, at = buffers(pa.array([m[2] for m in some], pa.binary()))

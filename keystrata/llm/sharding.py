@@ -42,7 +42,7 @@ def shard_of(key: F.Column, shards: int) -> F.Column:
 
 
 def place(rows: DataFrame, key: str, shards: int, grow: int = 1) -> DataFrame:
-    """``rows`` with shard, slot (0, 1, 2, ... within each shard, in the key's order) and grown_shard (with ``grow`` more shards).
+    """``rows`` with shard, slot (0, 1, 2, ... within each shard, in the key's order) and grown_shard (with ``grow`` more shards); columns of these names are replaced.
 
     Integer keys are hashed as they are, others by their xxHash64; a null key counts as 0. Repeated keys
     share a shard and get slots of their own. Slots come from a range sort by (shard, key) and a prefix sum

@@ -19,9 +19,11 @@ SLICE_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``, which every executor shares; a temporary one where that is unset."""
+    """A new folder's path below ``spark.checkpoint.dir``, which every executor shares; a local master may do without and gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="keystrata-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
@@ -36,6 +38,44 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of ``stored`` tables that no plan reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/keystrata/" in folder:
+                place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Sieve:
+    """Bits of at most 8 MB over longs that are hashes: ``maybe`` is true for all that went in, and for few others while there is room.
+
+    However many go in, the driver and the tasks hold no more than these bits; with too many, more rows pass and the join behind the sieve is larger.
+    """
+
+    MOST_BITS = 26
+
+    def __init__(self, rows: DataFrame, column: str):
+        n = rows.count()
+        self.places = 1 << min(self.MOST_BITS, max(10, (16 * n).bit_length()))
+        x, low = F.col(column), self.places - 1
+        at = rows.where(x.isNotNull()).select(F.explode(F.array(x.bitwiseAND(low), F.shiftright(x, 32).bitwiseAND(low))).alias("at"))
+        words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+        self.words = np.zeros(self.places >> 6, np.uint64)
+        self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def maybe(self, column: F.Column) -> F.Column:
+        words, low = self.words, np.uint64(self.places - 1)
+
+        def run(x: pa.Array) -> pa.Array:
+            v, hit = x.to_numpy(zero_copy_only=False).view(np.uint64), True
+            for at in (v & low, v >> np.uint64(32) & low):
+                hit = hit & (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            return pa.array(hit)
+
+        return F.arrow_udf(run, "boolean")(column)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files that no plan needs any more; it acts when the driver's garbage is collected, which may be late."""
     gc.collect()
@@ -102,6 +142,29 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_keystrata_worker", types.ModuleType("_keystrata_worker")).__dict__
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: an idle Python worker keeps its allocators' pages, and an executor has several workers."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(run):
+    """``run`` (of Arrow batches, for mapInArrow), which gives its memory back when it ends."""
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return through
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of each run, one run after the other."""
     total = np.cumsum(sizes)

@@ -9,6 +9,10 @@ segment leads to at most a few further indices. For each of the three segment pa
 itself under (index, index) for its own value and for every value at one error from it: about 29 keys.
 Two values at up to 2 errors have a value at one error from both, so they share a key; the join loses
 no pair. Equal keys are verified by counting differing bits.
+
+Such a key has 24 bits. Where a key has many fingerprints, each files itself anew under finer ones: of two at most 4 errors apart
+the third segment has at most 2, so they share one of its indices (12 bits more), or at least 3, so that one of the key's own
+two segments is the same in both (9 bits more). What is still large is cut into blocks that meet in pairs.
 """
 
 from __future__ import annotations
@@ -23,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.components import components
-from keystrata.llm.shared import buffers, session_partitions, slices, stored
+from keystrata.llm.shared import buffers, session_partitions, slices, stored, tidied
 
 MAX_BITS = 4
 #: Generator polynomial of the cyclic [23, 12] Golay code; widths of the segments of a fingerprint.
 GOLAY = 0b110001110101
 WIDTHS = (22, 21, 21)
-#: Fingerprints under one key that one step compares; keys with more are cut into blocks that meet in pairs.
-BLOCK = 20_000
+#: Fingerprints from which a key is refined; fingerprints under one key that one step compares: refined keys with more are cut into blocks that meet in pairs.
+REFINE, BLOCK = 4096, 20_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -96,7 +100,7 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(fp.view(np.int64))], ["key", "fp"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, fp long").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidied(run), f"key {rows.schema['key'].dataType.simpleString()}, fp long").withColumnRenamed("key", key)
 
 
 def golay_indices() -> np.ndarray:
@@ -141,6 +145,27 @@ def fuzzy_keys(fp: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, every[row, at].astype(np.int64)
 
 
+def finer_keys(key: np.ndarray, fp: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of finer keys: two fingerprints under one key of ``fuzzy_keys`` within MAX_BITS share one. Keys are hashes."""
+    shifts = np.cumsum([0, *WIDTHS[:-1]])
+    segment = lambda i, x: (x >> np.uint64(shifts[i])).astype(np.uint32) & np.uint32((1 << WIDTHS[i]) - 1)
+    rows, keys = [], []
+    for tag, pair in enumerate(combinations(range(3), 2)):
+        of = np.flatnonzero(key >> 24 == tag)
+        x, third = fp[of], 3 - sum(pair)
+        c = segment(third, x)
+        near = table[c[:, None] ^ (np.uint32(1) << np.arange(WIDTHS[third], dtype=np.uint32))]
+        index = np.sort(np.concatenate([table[c][:, None], near], axis=1), axis=1).astype(np.uint64)
+        new = np.ones(index.shape, bool)
+        new[:, 1:] = index[:, 1:] != index[:, :-1]
+        r, at = np.nonzero(new)
+        for kind, value, row in ((1, index[r, at], r), (2, segment(pair[0], x).astype(np.uint64), np.arange(len(x))), (3, segment(pair[1], x).astype(np.uint64), np.arange(len(x)))):
+            h = (key[of[row]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (value << np.uint64(2) | np.uint64(kind)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            rows.append(of[row])
+            keys.append((h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9))
+    return np.concatenate(rows), np.concatenate(keys).view(np.int64)
+
+
 def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges within MAX_BITS that connect whatever can be connected in ``fp``, fewer than there are fingerprints."""
     rest, ends = fp[1:], ([], [])
@@ -216,15 +241,31 @@ def links(distinct: DataFrame) -> DataFrame:
         if held:
             yield edges(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
 
-    filed = stored(distinct.repartition(session_partitions(spark), "fp").mapInArrow(file, "key long, fp long"), "golay")
-    big = filed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    cut = filed.join(big, "key", "left").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
-    plain = cut.where("own is null").select("key", "fp")
-    # block i meets block j in the group (i, j): each pair of blocks once, a block's own pairs in any of them
-    met = cut.where("own is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    grouped = plain.union(met).repartition("key").sortWithinPartitions("key")
-    return grouped.mapInArrow(verify, "u long, v long").distinct()
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = golay_indices()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 16):
+                key, fp = (batch.column(c).slice(at, 1 << 16).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
+                row, finer = finer_keys(key, fp.view(np.uint64), table)
+                yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(fp[row])], ["key", "fp"])
+
+    def large(rows: DataFrame, most: int) -> DataFrame:
+        return stored(rows.groupBy("key").count().where(F.col("count") > most), "large")
+
+    filed = stored(distinct.repartition(session_partitions(spark), "fp").mapInArrow(tidied(file), "key long, fp long"), "golay")
+    many = large(filed, min(REFINE, BLOCK))
+    grouped = filed
+    if not many.isEmpty():
+        plain = filed.join(many.select("key"), "key", "left_anti")
+        fine = stored(filed.join(many.select("key"), "key", "left_semi").mapInArrow(tidied(refine), "key long, fp long"), "finer")
+        big = large(fine, BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        cut = fine.join(big, "key", "left").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
+        # block i meets block j in the group (i, j): each pair of blocks once, a block's own pairs in any of them
+        met = cut.where("own is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+        grouped = plain.union(cut.where("own is null").select("key", "fp")).union(met)
+    grouped = grouped.repartition("key").sortWithinPartitions("key")
+    return grouped.mapInArrow(tidied(verify), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,7 +278,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = prints.groupBy("fp").agg(F.min(key).alias("least"))
     roots = components(links(classes.select("fp")))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")  # written, so that Spark can split the join's large partitions
     named = stored(rooted.join(names, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(key, "fp", "component_id")
 

@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystrata.llm.bpe import encoder
-from keystrata.llm.shared import buffers, read_flat, scratch, slices, stored, write_flat
+from keystrata.llm.shared import buffers, read_flat, scratch, slices, stored, tidied, write_flat
 
 MAGIC, HEADER = b"KSTK", "<4sIIIQ"  # magic, documents, block size, blocks, ids
-BLOCK = 1024
+#: Ids of a block; blocks coded in step, so that their tables fit a core's cache.
+BLOCK, IN_STEP = 1024, 4096
 #: Text bytes of a segment and of a file, about.
 SEGMENT_BYTES, FILE_BYTES = 20 << 20, 20 << 20
 _SLOTS, _OUT, _STEP, _FADE = 512, 10, 24, 256
@@ -48,7 +49,7 @@ class _Model:
         self.last, self.before, self.steps = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
 
     def look(self) -> tuple[np.ndarray, np.ndarray]:
-        """Frequencies of the outcomes (outcome, block) and their sums up to each."""
+        """Frequencies of the outcomes (outcome, block) and their sums up to each; all are below 2**16."""
         spread = self.last * 40503
         self.s1 = self.row * _SLOTS + ((spread >> 4) & (_SLOTS - 1))
         self.s2 = self.row * _SLOTS + (((spread + self.before * 30011) >> 3) & (_SLOTS - 1))
@@ -57,7 +58,11 @@ class _Model:
         self.k = self.row * 16 + (np.minimum(self.e1 & 7, 3) | np.minimum(self.e2 & 7, 3) << 2)
         f = self.f12.take(self.k, axis=1)
         f += self.f0
-        return f, np.cumsum(f, axis=0, dtype=np.uint32)
+        cum = np.empty_like(f)
+        cum[0] = f[0]
+        for i in range(1, _OUT):
+            np.add(cum[i - 1], f[i], out=cum[i])
+        return f, cum
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
         out = _CLASS[np.minimum(ids, 65536)]
@@ -101,11 +106,13 @@ class _Writer:
         self.low, self.width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.out, self.n = np.zeros((n, words), "<u2"), np.zeros(n, np.int64)
 
-    def put(self, cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        """Codes the part [cum, cum + freq) of total; (0, 1, 1) changes nothing."""
+    def put(self, cum: np.ndarray, freq: np.ndarray, total: np.ndarray, place: np.ndarray, bits: np.ndarray) -> None:
+        """Codes the part [cum, cum + freq) of total (below 2**16) and ``bits`` (0 to 16) even bits in it; (0, 1, 1) without bits changes nothing."""
         self.width //= total
         self.low += cum * self.width
         self.width *= freq
+        self.width >>= bits
+        self.low += place * self.width
         while len(due := _due(self.low, self.width)):
             low = self.low[due]
             self.out[due, self.n[due]] = low >> np.uint64(48)
@@ -113,11 +120,6 @@ class _Writer:
             self.low[due] = low << _WORD
             self.width[due] <<= _WORD
 
-    def put_bits(self, value: np.ndarray, bits: np.ndarray) -> None:
-        """Codes ``bits`` (0 to 16) even bits."""
-        self.width >>= bits
-        self.put(value, np.uint64(1), np.uint64(1))
-
     def end(self) -> list[bytes]:
         rows = np.arange(len(self.n))
         for k in range(4):
@@ -141,15 +143,13 @@ class _Reader:
         self.width //= total
         return np.minimum((self.code - self.low) // self.width, total - np.uint64(1))
 
-    def bits(self, bits: np.ndarray) -> np.ndarray:
-        self.width >>= bits
-        value = np.minimum((self.code - self.low) // self.width, (np.uint64(1) << bits) - np.uint64(1))
-        self.take(value, np.uint64(1))
-        return value
-
-    def take(self, cum: np.ndarray, freq: np.ndarray) -> None:
+    def take(self, cum: np.ndarray, freq: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """The even bits in the part [cum, cum + freq) of ``value``'s total."""
         self.low += cum * self.width
         self.width *= freq
+        self.width >>= bits
+        place = np.minimum((self.code - self.low) // self.width, (np.uint64(1) << bits) - np.uint64(1))
+        self.low += place * self.width
         while len(due := _due(self.low, self.width)):
             at = self.at[due]
             word = self.words[due, np.minimum(at, self.words.shape[1] - 1)]  # damaged bytes may ask for more
@@ -157,17 +157,22 @@ class _Reader:
             self.at[due] = at + 1
             self.low[due] <<= _WORD
             self.width[due] <<= _WORD
+        return place
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Each run of ``block`` ids coded on its own. Only the last can be short: it goes on with steps of id 0 that code nothing."""
+def _halves(wide: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What codes 16 even bits where ``wide`` and nothing elsewhere, without the bits' values."""
+    one = np.ones(len(wide), np.uint64)
+    return np.zeros(len(wide), np.uint64), one, one, np.where(wide, _WORD, np.uint64(0))
+
+
+def _encode(ids: np.ndarray, block: int) -> list[bytes]:
     n = -(-len(ids) // block)
-    if not n:
-        return []
     grid = np.zeros((n, block), np.int64)
     grid.ravel()[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.T)
     short = len(ids) - (n - 1) * block
+    large = len(ids) and int(ids.max()) >= 1 << 16
     model, writer = _Model(n), _Writer(n, 3 * block + 16)
     for t in range(min(block, len(ids))):
         x, (f, cum) = grid[t], model.look()
@@ -175,24 +180,29 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         at = out * n + model.row
         freq = f.ravel()[at].astype(np.uint64)
         low, total, bits = cum.ravel()[at] - freq, cum[-1].astype(np.uint64), _BITS[out]
-        place = np.where(bits > 0, x.astype(np.uint64) - _BASE[out], np.uint64(0))
+        place = x.astype(np.uint64) - _BASE[out]
+        place *= bits > 0
         if t >= short:
             low[-1], freq[-1], total[-1], bits[-1], place[-1] = 0, 1, 1, 0, 0
-        writer.put(low, freq, total)
-        wide = bits > 16
-        if wide.any():
-            writer.put_bits(np.where(wide, place >> _WORD, np.uint64(0)), np.where(wide, _WORD, np.uint64(0)))
-            place, bits = np.where(wide, place & np.uint64(0xFFFF), place), np.minimum(bits, _WORD)
-        writer.put_bits(place, bits)
+        if large and (wide := bits > 16).any():
+            writer.put(low, freq, total, np.where(wide, np.uint64(0), place), np.where(wide, np.uint64(0), bits))
+            for half in (place >> _WORD, place & np.uint64(0xFFFF)):
+                none, one, all_, sixteen = _halves(wide)
+                writer.put(none, one, all_, np.where(wide, half, np.uint64(0)), sixteen)
+        else:
+            writer.put(low, freq, total, place, bits)
         model.update(x, out)
     return writer.end()
 
 
-def decode_blocks(coded: list[bytes], total_ids: int, block: int = BLOCK) -> np.ndarray:
-    """What ``encode_blocks`` was given."""
+def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
+    """Each run of ``block`` ids coded on its own. Only the last can be short: it goes on with steps of id 0 that code nothing."""
+    step = IN_STEP * block
+    return [b for at in range(0, len(ids), step) for b in _encode(ids[at : at + step], block)]
+
+
+def _decode(coded: list[bytes], total_ids: int, block: int) -> np.ndarray:
     n = len(coded)
-    if not n:
-        return np.zeros(0, np.uint32)
     short = total_ids - (n - 1) * block
     grid = np.zeros((block, n), np.uint32)
     model, reader = _Model(n), _Reader(coded)
@@ -201,20 +211,28 @@ def decode_blocks(coded: list[bytes], total_ids: int, block: int = BLOCK) -> np.
         total = cum[-1].astype(np.uint64)
         if t >= short:
             total[-1] = 1
-        value = reader.value(total).astype(np.uint32)
-        out = (cum <= value).sum(axis=0)
+        value = reader.value(total).astype(np.uint16)
+        out = np.zeros(n, np.uint8)
+        for row in cum[:-1]:
+            out += row <= value
+        out = out.astype(np.int64)
         at = out * n + model.row
         freq = f.ravel()[at].astype(np.uint64)
         low, bits = cum.ravel()[at] - freq, _BITS[out]
         if t >= short:
             low[-1], freq[-1], bits[-1] = 0, 1, 0
-        reader.take(low, freq)
         x = np.where(out == 0, model.g2, np.where(out == 1, model.g1, model.p0))
-        wide, top = bits > 16, np.uint64(0)
+        wide = bits > 16
         if wide.any():
-            top = reader.bits(np.where(wide, _WORD, np.uint64(0)))
-        place = reader.bits(np.minimum(bits, _WORD))
-        x = np.where(bits > 0, (_BASE[out] + (top << _WORD | place)).astype(np.int64), x)
+            place = reader.take(low, freq, np.where(wide, np.uint64(0), bits))
+            for _ in range(2):
+                none, one, all_, sixteen = _halves(wide)
+                reader.value(all_)
+                half = reader.take(none, one, sixteen)
+                place = np.where(wide, place << _WORD | half, place)
+        else:
+            place = reader.take(low, freq, bits)
+        x = np.where(bits > 0, (_BASE[out] + place).astype(np.int64), x)
         if t >= short:
             x[-1] = 0
             out[-1] = model.outcome(x)[-1]
@@ -223,6 +241,12 @@ def decode_blocks(coded: list[bytes], total_ids: int, block: int = BLOCK) -> np.
     return np.ascontiguousarray(grid.T).ravel()[:total_ids]
 
 
+def decode_blocks(coded: list[bytes], total_ids: int, block: int = BLOCK) -> np.ndarray:
+    """What ``encode_blocks`` was given."""
+    made = [_decode(coded[i : i + IN_STEP], min(total_ids - i * block, IN_STEP * block), block) for i in range(0, len(coded), IN_STEP)]
+    return np.concatenate(made) if made else np.zeros(0, np.uint32)
+
+
 def pack_segment(keys: np.ndarray, valid: np.ndarray, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     coded = encode_blocks(ids, block)
     directory = b"".join((keys.astype("<i8").tobytes(), valid.astype(np.uint8).tobytes(), sizes.astype("<u8").tobytes()))
@@ -282,7 +306,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, key: str
                 yield pa.RecordBatch.from_arrays([pa.array([segment], pa.binary())], ["segment"])
 
     rows = in_order(docs.withColumn(key, F.col(key).cast("long")), key, text, FILE_BYTES)
-    write_flat(rows.mapInArrow(run, "segment binary"), "segment", path, "\n")
+    write_flat(rows.mapInArrow(tidied(run), "segment binary"), "segment", path, "\n")
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -305,7 +329,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                     base += int(sizes.sum())
 
     files = read_flat(spark, path).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "content")
-    rows = stored(files.mapInArrow(run, "file int, key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids), "tokens")
+    rows = stored(files.mapInArrow(tidied(run), "file int, key long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids), "tokens")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     shift = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     return rows.join(shift, "file").withColumn("start", F.col("start") + F.col("shift")).drop("file", "shift")
