@@ -60,3 +60,39 @@ items as (select doc_id, count(*)::bigint as n_items, string_agg(item, ',' order
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(named, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hits using (doc_id) left join items using (doc_id)
 """
+
+
+#: Every 50-byte string of every text in hexadecimal; what a smaller doc_id holds goes, overlapping or touching stretches are one run.
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM d),
+c AS (SELECT doc_id, unnest(range(0, greatest(n - 49, 0), 512)) AS c, n, h FROM n),
+w AS (SELECT doc_id, c, range(0, least(512, n - 49 - c)) AS j, substring(h, 2 * c + 1, 1122) AS h FROM c),
+s AS MATERIALIZED (SELECT doc_id, c + unnest(j) AS i, unnest(list_transform(j, lambda k: md5(substring(h, 2 * k + 1, 100)))) AS s FROM w),
+first AS (SELECT s, min(doc_id) AS low FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT s.doc_id, s.i FROM s JOIN first USING (s) WHERE s.doc_id > first.low),
+mark AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM mark),
+cut AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+piece AS (
+  SELECT n.doc_id, cut.a AS pos, substring(n.h, 2 * coalesce(lag(cut.b) OVER (PARTITION BY n.doc_id ORDER BY cut.a), 0) + 1, 2 * (cut.a - coalesce(lag(cut.b) OVER (PARTITION BY n.doc_id ORDER BY cut.a), 0))) AS t
+  FROM cut JOIN n USING (doc_id)
+  UNION ALL SELECT n.doc_id, n.n + 1, substring(n.h, 2 * coalesce(e.b, 0) + 1) FROM n LEFT JOIN (SELECT doc_id, max(b) AS b FROM cut GROUP BY doc_id) AS e USING (doc_id)
+),
+kept AS (SELECT doc_id, string_agg(t, '' ORDER BY pos) AS t FROM piece GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM cut GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.t)) AS kept_sha256
+FROM n JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+#: Brute force over all pairs of usable vectors.
+NEAREST = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (
+  SELECT vec_id, x FROM v
+  WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0
+),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score FROM u q JOIN u c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""

@@ -20,4 +20,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": oracles.WARC, "op7_sharding": oracles.SHARDING, "op9_decontamination": oracles.DECONTAMINATION}
+    return {
+        "op2_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_warc": oracles.WARC, "op7_sharding": oracles.SHARDING, "op9_decontamination": oracles.DECONTAMINATION, "op10_ann": oracles.NEAREST,
+    }

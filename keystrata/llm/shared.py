@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,29 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/keystrata/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """``name`` has ``value`` in the session meanwhile."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+#: Spark's own removal of a query's shuffle files when the query ends.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends here and survives lost executors."""
+    """``df`` written as Parquet in the shared folder and read again: lineage ends here and survives lost executors. Its shuffle files go at once."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    with setting(df.sparkSession, SWEEP, "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,12 +95,6 @@ class Sieve:
         return F.arrow_udf(run, "boolean")(column)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files that no plan needs any more; it acts when the driver's garbage is collected, which may be late."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def folder(spark: SparkSession, path: str) -> None:
     """Makes the folder ``path`` where it is missing, on whatever file system Spark reaches."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystrata.llm.bpe import encoder
-from keystrata.llm.shared import buffers, folder, scratch, slices, stored
+from keystrata.llm.shared import buffers, folder, scratch, setting, slices, stored, tidied
 from keystrata.llm.token_files import with_end
 
 #: Text bytes encoded at a time.
@@ -58,15 +58,11 @@ def write_flat_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, key:
         if keys:
             yield row("names", np.concatenate(keys).tobytes() + np.concatenate(valid).tobytes())
 
-    spark, together = docs.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    made = rows.mapInArrow(run, "data binary, kind string").select(F.col("data").cast("string").alias("value"), "kind")
-    before = spark.conf.get(together)
-    spark.conf.set(together, "4")  # both files of a task are open at once, so its rows need no sort
-    try:
+    made = rows.mapInArrow(tidied(run), "data binary, kind string").select(F.col("data").cast("string").alias("value"), "kind")
+    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "4"):  # both files of a task are open at once, so its rows need no sort
         made.write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", mark.decode("latin-1")).text(path)
-    finally:
-        spark.conf.set(together, before)
     for name in (IDS, NAMES):
         folder(spark, f"{path}/{name}")
 
