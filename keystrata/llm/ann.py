@@ -3,14 +3,17 @@
 A vector is the sum of one word of each of M full-dimensional codebooks plus a small residual. Codebooks
 are trained one after the other on what the earlier ones leave over; encoding keeps the ``BEAM`` best
 partial sums at each step. A query scores a block of codes by adding up table entries, its inner products
-with the codebooks' words, takes the block's best share by that score (or, with stored norms, by distance
-or cosine) and computes those exactly. Blocks of queries meet blocks of codes; each block is a bounded row.
+with the codebooks' words (or, with stored norms, by cosine). It then computes exactly those whose score, with ``SIGMAS`` standard
+deviations of the error that their residual can make, reaches the best results so far: few where the codes are good, up
+to all where they are not. The index stays where it lies; queries go to it in passes of a bounded size,
+and a task keeps the best results of a pass over all its blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keystrata.llm.shared import session_partitions, stored
+from keystrata.llm.shared import stored, tidied
 
 CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 12, 256, 4, 6
 #: Vectors that the codebooks are fitted to, at most about.
 FIT_ROWS = 8192
-#: Vectors of a block of codes, queries of a block, and codes of a block that a query scores exactly.
-BLOCK, QUERIES, RERANK = 4096, 1024, 192
+#: Vectors of a block of codes; codes of a block that a query scores exactly at least; standard deviations that a score may be off.
+BLOCK, RERANK, SIGMAS = 4096, 32, 4.5
+#: Bytes of query vectors that one pass sends to every task.
+PASS_BYTES = 32 << 20
 
 
 @dataclass
@@ -50,6 +55,12 @@ class Quantiser:
             codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.uint8)], axis=2)
         return codes[:, 0], ((x - rest[:, 0]) ** 2).sum(axis=1)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), self.books.shape[2]), np.float32)
+        for book, word in zip(self.books, codes.T, strict=True):
+            out += book[word]
+        return out
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(M, queries, words) inner products."""
         return np.einsum("mwd,qd->mqw", self.books, q.astype(np.float32), optimize=True)
@@ -86,10 +97,11 @@ def _parts(n: int, block: int) -> int:
 
 
 def build(rows: DataFrame, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> tuple[DataFrame, Quantiser]:
-    """The index of ``usable`` rows: a row a block with ids, codes, norms and vectors packed. Codebooks are fitted on a sample by the key's hash."""
+    """The index of ``usable`` rows: a row a block with ids, codes, norms and vectors packed. Codebooks are fitted on ``fit_rows`` rows at most, those with the least hashes of key and vector."""
     n = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, fit_rows / max(n, 1))) + 1)
-    x = np.array([r["v"] for r in sample.orderBy(F.xxhash64("key"), "key").select("v").collect()], np.float64)
+    chance = F.xxhash64("key", "v", F.lit("fit"))
+    sample = rows.where(F.pmod(chance, F.lit(1 << 20)) < int((1 << 20) * min(1.0, 2 * fit_rows / max(n, 1))) + 1)
+    x = np.array([r["v"] for r in sample.orderBy(chance, "key").limit(fit_rows).select("v").collect()], np.float64)
     quantiser = train(x if len(x) else np.zeros((0, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,6 +111,7 @@ def build(rows: DataFrame, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> tupl
             ids = np.concatenate([p.column("key").to_numpy(zero_copy_only=False) for p in parts])
             v = np.concatenate([p.column("v").flatten().to_numpy(zero_copy_only=False) for p in parts]).reshape(len(ids), -1)
             codes, norms = quantiser.encode(v)
+            norms = np.stack([norms, ((v - quantiser.decode(codes)) ** 2).sum(axis=1)], axis=1)  # of what the codes decode to, and of what they leave over
             return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids.astype("<i8"), codes, norms.astype("<f4"), v.astype("<f8")))], ["n", "ids", "codes", "norms", "vectors"])
 
         for batch in batches:
@@ -110,8 +123,8 @@ def build(rows: DataFrame, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> tupl
         if held:
             yield packed(held)
 
-    spread = rows.repartition(_parts(n, block), F.xxhash64("key"))
-    return stored(spread.mapInArrow(run, "n int, ids binary, codes binary, norms binary, vectors binary").withColumn("part", F.spark_partition_id()), "codes"), quantiser
+    spread = rows.repartition(_parts(n, block), F.xxhash64("key", "v"))
+    return stored(spread.mapInArrow(run, "n int, ids binary, codes binary, norms binary, vectors binary"), "codes"), quantiser
 
 
 def copies(ids: np.ndarray, v: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -140,72 +153,132 @@ def highest(scores: np.ndarray, keep: int) -> np.ndarray:
     return np.argpartition(scores, n - wide, axis=1)[:, n - wide :] if wide < n else np.broadcast_to(np.arange(n), scores.shape)
 
 
+def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of q (queries, d) and v (queries, k, d), added up in the order of the components."""
+    out = np.zeros(v.shape[:2])
+    for d in range(q.shape[1]):
+        out += q[:, d, None] * v[:, :, d]
+    return out
+
+
+class _Best:
+    """The best ``top`` results of each query so far; free places have the score -inf."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, top: int, measure: str):
+        self.qid, self.q, self.top, self.measure = qid, q, top, measure
+        self.norm = np.linalg.norm(q, axis=1)
+        self.ids, self.scores = np.zeros((len(qid), top), np.int64), np.full((len(qid), top), -np.inf)
+
+    def block(self, quantiser: Quantiser, ids: np.ndarray, v: np.ndarray, codes: np.ndarray, norms: np.ndarray, rerank: int) -> None:
+        """Takes in a block of the index."""
+        kind, members, spare = copies(ids, v, self.top)
+        v, codes, decoded, left = v[kind], codes[kind], norms[kind, 0], norms[kind, 1]
+        length, n = np.linalg.norm(v, axis=1), len(kind)
+        width = self.top + spare
+        tables = quantiser.tables(self.q)
+        for a in range(0, len(self.qid), 128):
+            at = slice(a, min(a + 128, len(self.qid)))
+            q, size = self.q[at], self.norm[at, None]
+            approx = np.zeros((len(q), n), np.float32)
+            for m in range(codes.shape[1]):
+                approx += np.take(tables[m, at], codes[:, m], axis=1)
+            off = (SIGMAS * np.sqrt(left / max(q.shape[1], 1))).astype(np.float32) * size.astype(np.float32)
+            if self.measure == "cosine":
+                by = (np.sqrt(np.maximum(decoded, 1e-20)) * size).astype(np.float32)
+                approx, off = approx / by, off / by
+            # a few exact scores first: they say what the others have to reach
+            seed = highest(approx, min(max(rerank, width), n))
+            self._score(at, q, size, v, length, seed, ids, members, width)
+            reach = self.scores[at, -1]
+            open_ = approx + off >= reach[:, None]
+            np.put_along_axis(open_, seed, False, axis=1)
+            many = open_.sum(axis=1)
+            # queries with like many left go together; where most are left, all are scored
+            for some in np.array_split(np.argsort(many, kind="stable"), 8):
+                wide = int(many[some].max()) if len(some) else 0
+                if wide:
+                    held = np.where(open_[some], approx[some], -np.inf)
+                    best = np.argpartition(held, n - wide, axis=1)[:, n - wide :] if wide < n else np.broadcast_to(np.arange(n), held.shape)
+                    self._score(a + some, q[some], size[some], v, length, best, ids, members, width)
+
+    def _score(self, at, q: np.ndarray, size: np.ndarray, v: np.ndarray, length: np.ndarray, best: np.ndarray, ids: np.ndarray, members: np.ndarray, width: int) -> None:
+        """Scores the vectors ``best`` of each query exactly; ``at`` are the queries' places."""
+        where = np.arange(at.start, at.stop) if isinstance(at, slice) else at
+        step = max(1, (4 << 20) // max(best.shape[1] * v.shape[1], 1))
+        for z in range(0, len(best), step):
+            rows, place = best[z : z + step], where[z : z + step]
+            near = np.einsum("qd,qkd->qk", q[z : z + step], v[rows]) if rows.shape[1] < len(v) // 2 else np.take_along_axis(q[z : z + step] @ v.T, rows, 1)
+            if self.measure == "cosine":
+                near /= size[z : z + step] * length[rows]
+            first = highest(near, min(width + 8, near.shape[1]))
+            rows = np.take_along_axis(rows, first, 1)
+            exact = _exact(q[z : z + step], v[rows])
+            if self.measure == "cosine":
+                exact /= size[z : z + step] * length[rows]
+            held = members[rows]
+            scores = np.where(held < 0, -np.inf, exact[:, :, None]).reshape(len(rows), -1)
+            self._merge(place, ids[np.maximum(held, 0)].reshape(len(rows), -1), scores)
+
+    def _merge(self, place: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        scores[ids == self.qid[place, None]] = -np.inf
+        ids, scores = np.concatenate([self.ids[place], ids], axis=1), np.concatenate([self.scores[place], scores], axis=1)
+        order = np.lexsort((ids, -scores), axis=1)[:, : self.top]
+        self.ids[place], self.scores[place] = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        ok = np.isfinite(self.scores).ravel()
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.qid, self.top)[ok]), pa.array(self.ids.ravel()[ok]), pa.array(self.scores.ravel()[ok])], ["query_id", "vec_id", "score"])
+
+
+def _passes(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and vectors of ``queries`` in runs of about ``most`` bytes; the driver holds one at a time."""
+    ids, rows, held = [], [], 0
+    for r in queries.toLocalIterator():
+        ids.append(r["key"])
+        rows.append(np.array(r["v"], np.float64))
+        held += rows[-1].nbytes
+        if held >= most:
+            yield np.array(ids, np.int64), np.stack(rows)
+            ids, rows, held = [], [], 0
+    if ids:
+        yield np.array(ids, np.int64), np.stack(rows)
+
+
 def search(index: DataFrame, quantiser: Quantiser, queries: DataFrame, top: int, rerank: int = RERANK, measure: str = "ip") -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row (key, v; keys differ) of ``queries``, rows of its own id apart; ties go to the smaller id.
 
-    ``measure``: ``ip`` (inner product) or ``cosine`` (stored norms divide the approximate score). Each query scores
-    ``rerank`` different vectors of each block exactly, and all that tie with the last of them: a fixed share of the
-    index at any size. Copies of a vector count once and bring their smallest ids.
+    ``measure``: ``ip`` (inner product) or ``cosine``. Each query scores ``rerank`` different vectors of each block exactly, all that tie with
+    the last of them, and every other that may still reach its results. Copies of a vector count once and bring their
+    smallest ids. Repeated ids in the index are results of their own. Each pass of queries is a table before the next begins.
     """
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, QUERIES):
-                p = batch.slice(at, QUERIES)
-                ids, v = p.column("key").to_numpy(zero_copy_only=False), p.column("v").flatten().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([v.astype("<f8").tobytes()], pa.binary())], ["q_ids", "q_vectors"])
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda c, kind, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_py(), kind)
-                ids, qid = get("ids", "<i8"), get("q_ids", "<i8")
-                v, q = get("vectors", "<f8").reshape(len(ids), -1), get("q_vectors", "<f8").reshape(len(qid), -1)
-                codes, norms = get("codes", np.uint8).reshape(len(ids), -1), get("norms", "<f4")
-                tables = quantiser.tables(q)
-                kind, members, spare = copies(ids, v, top)
-                v, codes, norms = v[kind], codes[kind], norms[kind]
-                keep = min(rerank, len(v))
-                out: tuple[list, list, list] = ([], [], [])
-                for a in range(0, len(qid), 128):
-                    approx = np.zeros((len(qid[a : a + 128]), len(v)), np.float32)
-                    for m in range(codes.shape[1]):
-                        approx += tables[m, a : a + 128][:, codes[:, m]]
-                    if measure == "cosine":
-                        approx /= np.sqrt(np.maximum(norms, 1e-20))
-                    every = highest(approx, keep)
-                    step = max(1, 128 * rerank // max(every.shape[1], 1))  # ties may make many
-                    for z in range(0, len(every), step):
-                        best, part, asked = every[z : z + step], qid[a : a + 128][z : z + step], q[a : a + 128][z : z + step]
-                        exact = np.einsum("qd,qkd->qk", asked, v[best])
-                        if measure == "cosine":
-                            exact /= np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(v[best], axis=2)
-                        first = highest(exact, min(top + spare, exact.shape[1]))
-                        held = members[np.take_along_axis(best, first, 1)]
-                        exact = np.broadcast_to(np.take_along_axis(exact, first, 1)[:, :, None], held.shape).reshape(len(part), -1).copy()
-                        got = np.where(held < 0, 0, ids[held]).reshape(len(part), -1)
-                        exact[(got == part[:, None]) | (held < 0).reshape(len(part), -1)] = -np.inf
-                        order = np.lexsort((got, -exact), axis=1)[:, :top]
-                        out[0].append(np.repeat(part, order.shape[1]))
-                        out[1].append(np.take_along_axis(got, order, 1).ravel())
-                        out[2].append(np.take_along_axis(exact, order, 1).ravel())
-                a, b, s = (np.concatenate(x) if x else np.zeros(0) for x in out)
-                ok = s > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(a[ok].astype(np.int64)), pa.array(b[ok].astype(np.int64)), pa.array(s[ok].astype(np.float64))], ["query_id", "vec_id", "score"])
-
-    spark = index.sparkSession
-    n = queries.count()
-    asked = stored(queries.repartition(max(1, -(-n // QUERIES)), F.xxhash64("key")).mapInArrow(pack, "q_ids binary, q_vectors binary"), "queries")
-    # each block of queries goes to every partition of the index by that partition's number
-    last = index.agg(F.max("part")).first()[0]
-    met = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last or 0)))).join(index, "part")
-    near = met.repartition(session_partitions(spark)).select("ids", "codes", "norms", "vectors", "q_ids", "q_vectors").mapInArrow(match, "query_id long, vec_id long, score double")
+    spark, found = index.sparkSession, []
+
+    def matching(qid: np.ndarray, q: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(qid, q, top, measure)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    get = lambda c, kind, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+                    ids = get("ids", "<i8")
+                    best.block(quantiser, ids, get("vectors", "<f8").reshape(len(ids), -1), get("codes", np.uint8).reshape(len(ids), -1), get("norms", "<f4").reshape(len(ids), -1), rerank)
+            yield best.rows()
+
+        return tidied(run)
+
+    packed = index.select("ids", "codes", "norms", "vectors")
+    for qid, q in _passes(queries.select("key", "v"), PASS_BYTES):
+        found.append(stored(packed.mapInArrow(matching(qid, q), "query_id long, vec_id long, score double"), "nearest"))
+    near = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest by inner product of every embedding whose vec_id 20 divides, among all others."""
+    """The 20 nearest by inner product of every embedding whose vec_id 20 divides, among all others.
+
+    A null vec_id takes no part. Rows that share a vec_id are candidates each; of those that 20 divides one is the query, the
+    one whose vector compares smallest, and none of the others is its result. Vectors of another than the commonest length take no part.
+    """
     rows = stored(usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding").where("key is not null"), "vectors")
     index, quantiser = build(rows)
     return search(index, quantiser, rows.where("key % 20 = 0").groupBy("key").agg(F.min("v").alias("v")), 20)
