@@ -1,25 +1,29 @@
 """WARC archives, read and written, and their external index merge.
 
 Archives are written by Spark's text sink: a record's bytes are the row, the empty line that ends a record
-is the line separator. Reading parses whole files by their length fields. The index (URL key, timestamp,
-id) is made as capture runs, one sorted run for each partition of records, cut at sampled key bounds; each
-range of keys is then merged from its run pieces with a loser tree, and the ranges follow each other.
+is the line separator; records of like size share files, so a file's bytes are bounded. Reading parses whole files by their
+length fields. The index (URL key, timestamp, id) is made as capture runs, one sorted run for each partition of records,
+cut at sampled key bounds; each range of keys is then merged from its run pieces with a loser tree, and the ranges follow each other.
 """
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import read_flat, scratch, stored, write_flat
+from keystrata.llm.shared import scratch, stored, tidied, write_flat
 
-#: Payloads of at least so many bytes are stored once. Records of a file at most; index entries of a range and sampled keys, about.
-DEDUP_BYTES, FILE_RECORDS, RANGE_ENTRIES, SAMPLE = 1000, 2000, 50_000, 4000
+#: Payloads of at least so many bytes are stored once.
+DEDUP_BYTES = 1000
+#: Records of a file at most, by the bytes of their payloads at most: 256 MB a file; larger payloads have files of their own.
+FILES = ((128 << 10, 2000), (8 << 20, 32), (1 << 31, 1))
+#: Index entries of a range, about; ranges at most, then they grow; keys sampled for each bound, about.
+RANGE_ENTRIES, RANGES, SAMPLE = 50_000, 20_000, 16
 #: Version line and media types of the records.
 VERSION, RESPONSE_TYPE = "WARC/1.1", "application/http; msgtype=response"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,7 +63,9 @@ def write_warc(rows: DataFrame, path: str) -> None:
         F.when(again, F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: "), _urn(F.col("refers_to")))).otherwise(""),
         F.lit(f"\r\nContent-Type: {RESPONSE_TYPE}\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     ).cast("binary")
-    write_flat(rows.select(F.concat(head, block).alias("record")), "record", path, "\r\n\r\n", FILE_RECORDS)
+    tier = sum(((F.col("payload_bytes") > size).cast("int") for size, _ in FILES[:-1]), F.lit(0))
+    for k in sorted(r[0] for r in rows.select(tier.alias("tier")).distinct().collect()) or [0]:
+        write_flat(rows.where(tier == k).select(F.concat(head, block).alias("record")), "record", f"{path}/size-{k}", "\r\n\r\n", FILES[k][1])
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -99,7 +105,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in ENTRY.split(", ")])
 
-    return read_flat(spark, path).select("content").mapInArrow(run, ENTRY)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("content").mapInArrow(tidied(run), ENTRY)
 
 
 def url_key(url: str) -> str:
@@ -154,52 +161,55 @@ class LoserTree:
 def merge_index(entries: DataFrame) -> DataFrame:
     """``entries`` (ENTRY) with url_key and index_pos, the place from 0 in the order of (url_key, captured, page_id), nulls first.
 
-    Key bounds come from a sample of bounded size and include time and id, so captures of one URL spread
-    over several ranges. Equal entries keep an order of their own. No rows: no rows.
+    Key bounds come from a sample of SAMPLE keys a range and of RANGES ranges at most, and include time and id, so captures of one
+    URL spread over several ranges. Each partition of the entries is a run, sorted by Spark; a range is merged from its
+    pieces of the runs. Equal entries keep the order of their runs. No rows: no rows.
     """
     spark = entries.sparkSession
     n = entries.count()
-    key = F.struct(F.col("url_key"), "captured", F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"))
+    id_ = F.coalesce("page_id", F.lit(-(1 << 63)))
+    key = F.struct(F.col("url_key"), "captured", id_.alias("id"))
 
     def keyed(urls: pa.Array) -> pa.Array:
         return pa.array([None if u is None else url_key(u) for u in urls.to_pylist()], pa.string())
 
     entries = stored(entries.withColumn("url_key", F.coalesce(F.arrow_udf(keyed, "string")("url"), F.lit(""))), "captures")
-    ranges = max(1, -(-n // RANGE_ENTRIES))
-    share = int((1 << 20) * min(1.0, SAMPLE * ranges / max(n, 1) / 8)) + 1
-    found = sorted(tuple(r["k"]) for r in entries.where(F.pmod(F.xxhash64("page_id", "url", F.lit("bounds")), F.lit(1 << 20)) < share).select(key.alias("k")).collect()) if ranges > 1 else []
+    ranges = max(1, min(RANGES, -(-n // RANGE_ENTRIES)))
+    share = int((1 << 20) * min(1.0, SAMPLE * ranges / max(n, 1))) + 1
+    chosen = entries.where(F.pmod(F.xxhash64("page_id", "url", "captured", F.lit("bounds")), F.lit(1 << 20)) < share).select(key.alias("k"))
+    found = sorted(tuple(r["k"]) for r in chosen.limit(4 * SAMPLE * ranges).collect()) if ranges > 1 else []
     bounds = [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
     columns = entries.columns
-    c_key, c_time, c_id = columns.index("url_key"), columns.index("captured"), columns.index("page_id")
 
-    def order(row: list) -> tuple:
-        return row[c_key], row[c_time], -(1 << 63) if row[c_id] is None else row[c_id]
+    def keys_of(table) -> list[tuple]:
+        ids = table.column("page_id").fill_null(-(1 << 63))
+        return list(zip(table.column("url_key").to_pylist(), table.column("captured").to_pylist(), ids.to_pylist(), strict=True))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # a batch is a run: bounded, sorted here
-            run = sorted(([*r.values()] for r in batch.to_pylist()), key=order)
-            pieces: dict[int, list] = {}
-            for row in run:
-                pieces.setdefault(bisect_right(bounds, order(row)), []).append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([len(p) for p in pieces.values()], pa.int64()), pa.array([json.dumps(p) for p in pieces.values()], pa.string())], ["range", "n", "piece"])
+        at = 0
+        for batch in batches:
+            low = pa.array([bisect_right(bounds, k) for k in keys_of(batch)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, low, pa.array(np.arange(at, at + batch.num_rows))], [*batch.schema.names, "range", "at"])
+            at += batch.num_rows
 
     def merge(table: pa.Table) -> pa.Table:
-        runs = [json.loads(p) for p in sorted(table.column("piece").to_pylist())]
-        rows = [row for _, _, row in LoserTree([((order(x), i, x) for i, x in enumerate(r)) for r in runs])]
+        table = table.sort_by([("run", "ascending"), ("at", "ascending")]).combine_chunks()  # the runs' pieces, one after the other
+        run, keys = table.column("run").to_numpy(), keys_of(table)
+        edges = [*np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))).tolist(), len(run)]
+        tree = LoserTree([((keys[i], i) for i in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)])
         start = table.column("start")[0].as_py()
-        out = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
-        return pa.Table.from_arrays([*out, pa.array(range(start, start + len(rows)), pa.int64())], [*columns, "index_pos"])
+        merged = table.select(columns).take(pa.array([i for _, i in tree], pa.int64()))
+        return merged.append_column("index_pos", pa.array(np.arange(start, start + len(run))))
 
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "timestamp": pa.timestamp("us")}
-    fields = [pa.field(f.name, kinds[f.dataType.simpleString()]) for f in entries.schema.fields]
-    pieces = stored(entries.mapInArrow(cut, "range int, n long, piece string"), "runs")
-    sizes = dict(pieces.groupBy("range").agg(F.sum("n")).collect())  # a number for each range
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields)
+    runs = entries.sortWithinPartitions("url_key", "captured", id_)
+    pieces = stored(runs.mapInArrow(cut, f"{schema}, range int, at long").withColumn("run", F.spark_partition_id()), "runs")
+    sizes = dict(pieces.groupBy("range").count().collect())  # a number for each range
     starts, total = {}, 0
     for r in sorted(sizes):
         starts[r], total = total, total + sizes[r]
     placed = pieces.join(spark.createDataFrame(list(starts.items()) or [(0, 0)], "range int, start long"), "range")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields) + ", index_pos bigint"
-    return placed.groupBy("range").applyInArrow(merge, schema)
+    return placed.groupBy("range").applyInArrow(merge, f"{schema}, index_pos bigint")
 
 
 def archive(pages: DataFrame, path: str) -> DataFrame:
