@@ -1,10 +1,10 @@
 """SentencePiece segmentations drawn by forward filtering and backward sampling over the piece lattice.
 
 No piece crosses from a non-space to a space, so the lattice of a text falls into those of its chunks (a run
-of spaces and what follows). Forward filtering of a distinct chunk gives, for each position, the weight of all
+of spaces and what follows), and a long chunk, as scripts without spaces have them, into its parts between places that no piece crosses. Forward filtering of a distinct chunk gives, for each position, the weight of all
 segmentations up to it, and so the chance of each piece that may end there. Backward sampling draws pieces
-from the end, for all chunks of a batch at once. A draw is a hash of (seed, row key, chunk number, step): the
-same row gets the same segmentation on any cluster.
+from the end, for all parts of a batch at once. A draw is a hash of (seed, row key, part's number, step), and chances are
+added up for each place alone: the same row gets the same segmentation whatever else its batch holds.
 
 A piece's weight is its rank's share under Zipf's law to the power ``theta``, as the model's scores are merge
 ranks. A character that is no piece is spelled in byte pieces, so decoding gives every text back. As the library does, a
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from keystrata.llm.shared import buffers, ragged, slices, worker_cache
 
 THETA, SEED = 1.0, 0
-#: Rank at which byte pieces weigh; text bytes whose distinct chunks are filtered together.
-BYTE_RANK, SLICE_BYTES = 1_000_000, 5 << 18
+#: Rank at which byte pieces weigh; text bytes whose distinct chunks are filtered together; bytes from which a chunk is parted.
+BYTE_RANK, SLICE_BYTES, LONG = 1_000_000, 5 << 18, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,10 +115,16 @@ class Lattices:
         return begin, begin + size, piece, weight
 
     def filter(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Edges in the order of the places where they end, with their chances given that place, and the first edge of each place and after the last."""
+        """Edges in the order of the places where they end, with the sum of their and the earlier ones' chances given that place, the first edge of each place and after the last, and the parts' offsets."""
         begin, end, piece, weight = self.edges(raw, off)
         order = np.lexsort((begin, end))
         begin, end, piece, weight = begin[order], end[order], piece[order], weight[order]
+        # a place inside no edge cuts a long chunk: the lattice's halves do not depend on each other
+        inside = np.cumsum(np.bincount(begin + 1, minlength=len(raw) + 2) - np.bincount(end, minlength=len(raw) + 2))[: len(raw)]
+        large = np.repeat(np.diff(off) >= LONG, np.diff(off))
+        cut = (inside == 0) & large
+        cut[off[:-1][np.diff(off) > 0]] = True
+        off = np.append(np.flatnonzero(cut), len(raw))
         chunk = np.searchsorted(off, begin, "right") - 1
         deep = end - off[chunk]
         # alpha of a place inside a chunk is at its number; a chunk's start is 1 and has no number of its own
@@ -139,7 +145,12 @@ class Lattices:
             if len(low) and j >= self.most:  # only ratios of the last few places matter
                 for k in range(self.most):
                     alpha[to[first[low]] - k] *= 1e110
-        return begin, end, piece, chance, np.searchsorted(end, np.arange(len(raw) + 2))
+        first = np.searchsorted(end, np.arange(len(raw) + 2))
+        nth = np.arange(len(end)) - first[end]
+        for k in range(1, int(nth.max()) + 1 if len(nth) else 0):
+            e = np.flatnonzero(nth == k)
+            chance[e] += chance[e - 1]
+        return begin, end, piece, chance, first, off
 
     def sample(self, raw: np.ndarray, at: np.ndarray, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all texts one after the other, and the number of each; ``keys`` are unsigned 64-bit."""
@@ -160,20 +171,27 @@ class Lattices:
         offsets = np.append(begin, len(padded)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(padded)]).dictionary_encode()
         text, off = buffers(coded.dictionary)
-        from_, to, piece, chance, first = self.filter(text, off)
-        total = np.concatenate(([0.0], np.cumsum(chance)))
-        cumulated = np.minimum(total[1:] - total[first[to]], 1.0) + to  # the place v owns the values in (v, v + 1]
-
-        index = coded.indices.to_numpy()
-        owner = np.searchsorted(at, begin, "right") - 1
-        nth = np.arange(len(begin)) - np.searchsorted(begin, at[:-1])[owner]
+        from_, to, piece, reached, first, part = self.filter(text, off)
+        rounds = int(np.diff(first).max()).bit_length()
+
+        # every occurrence of a chunk stands for its parts
+        index, low = coded.indices.to_numpy(), np.searchsorted(part, off)
+        many = np.diff(low)[index]
+        which = ragged(low[:-1][index], many)
+        owner = np.repeat(np.searchsorted(at, begin, "right") - 1, many)
+        nth = np.arange(len(which)) - np.searchsorted(owner, owner)
         state = _mix(_mix(keys[owner] + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) + nth.astype(np.uint64))
-        place, home, live = off[index + 1], off[index], np.arange(len(begin))
+        place, home, live = part[which + 1], part[which], np.arange(len(which))
         drawn_for, drawn = [], []
         while len(live):
             u = ((_mix(state[live] + np.uint64((len(drawn) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
             here = place[live]
-            edge = np.minimum(np.searchsorted(cumulated, here + u, "left"), first[here + 1] - 1)  # a chance of 1 may be rounded down
+            edge, last = first[here], first[here + 1] - 1  # the last one's sum may be rounded down
+            for _ in range(rounds):
+                middle = (edge + last) >> 1
+                past = reached[middle] < u
+                edge, last = np.where(past & (edge < last), middle + 1, edge), np.where(past, last, middle)
+            edge = np.minimum(edge, last)
             drawn_for.append(live)
             drawn.append(edge)
             place[live] = from_[edge]
@@ -270,16 +288,22 @@ def round_trip(key: F.Column, text: F.Column, model: str, theta: float = THETA,
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sampled segmentation of every document, decoded again."""
+    """doc_id, pieces, n_pieces, decoded, lossless: a sampled segmentation of every document and the text decoded from it.
+
+    A null text has no pieces and decodes to null. Rows with one doc_id and text draw alike; a null doc_id draws as 0.
+    """
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = docs.select("doc_id", digests(F.col("doc_id"), F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("d"))
-    return found.select("doc_id", "d.n_pieces", "d.pieces_crc32", "d.decoded_sha256", "d.lossless")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    coded = docs.withColumn("d", round_trip(F.col("doc_id"), F.col("text"), public_tokenizers.path("piece_bpe_32k.model")))
+    return coded.select("doc_id", F.col("d.pieces").alias("pieces"), F.size("d.pieces").cast("long").alias("n_pieces"), F.col("d.text").alias("decoded"), F.col("d.text").eqNullSafe(F.col("text")).alias("lossless"))
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: ``pieces`` drawn for each document, and the text decoded from them."""
+    """Pipeline stage, the last: ``pieces`` drawn for each document, their number ``n_pieces``, and the text decoded from them.
+
+    Columns of these two names that the documents have already are replaced.
+    """
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
