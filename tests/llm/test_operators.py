@@ -77,6 +77,26 @@ def test_golay_keys_lose_no_pair():
     assert all(keys[0][i] & keys[1][i] for i in range(len(a)))
 
 
+def test_finer_keys_lose_no_pair_of_a_key():
+    table, rng = simhash.golay_indices(), np.random.default_rng(8)
+    a = rng.integers(0, 1 << 63, 300, np.uint64)
+    b = a.copy()
+    for i in range(len(b)):
+        for place in rng.choice(64, 4, replace=False) if i % 3 else rng.choice(np.arange(22, 43) if i % 2 else np.arange(43, 64), 4, replace=False):
+            b[i] ^= np.uint64(1) << np.uint64(place)
+    held = []
+    for x in (a, b):
+        row, key = simhash.fuzzy_keys(x, table)
+        fine, finer = simhash.finer_keys(key, x[row], table)
+        under = defaultdict(lambda: defaultdict(set))
+        for r, k in zip(row[fine].tolist(), zip(key[fine].tolist(), finer.tolist(), strict=True), strict=True):
+            under[r][k[0]].add(k[1])
+        held.append(under)
+    for i in range(len(a)):
+        common = held[0][i].keys() & held[1][i].keys()
+        assert common and all(held[0][i][k] & held[1][i][k] for k in common)
+
+
 def test_large_groups_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 20)
     values = [1 << i | 1 << j for i in range(20) for j in range(i)] + [(1 << 63) - 1]
@@ -123,6 +143,35 @@ def test_suffix_dedup(spark, monkeypatch, bucket):
     assert suffix_dedup.shared_spans(empty(spark)).count() == 0
 
 
+def test_rows_that_share_a_key_are_told_apart(spark):
+    """Null ids never count as earlier than others, and rows of one key never for each other, whatever their texts."""
+    rng = np.random.default_rng(4)
+    base = "".join(rng.choice(list("abcdefgh "), 200))
+    rows = [(None, base), (None, base[:9]), (None, base[20:120] + "x"), (1, base[50:150]), (1, "y" + base[60:140]), (2, base[55:130]), (2, base), (None, None)]
+    rows += [(None, "".join(rng.choice(list("ab"), 60))) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(suffix_dedup.shared_spans(docs)) == cut_of(rows)
+
+
+def test_common_seeds_are_ranked_without_pairing(spark, monkeypatch):
+    """A passage shorter than a span in very many contexts: what repeats around it is found all the same."""
+    monkeypatch.setattr(suffix_dedup, "COMMON", 3)
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    hot, sides = word(40), [word(30) for _ in range(6)]
+    rows = [(i, f"{word(25)}{sides[i % 6]}{hot}{sides[(i * 5 + 1) % 6]}{word(25)}") for i in range(60)]
+    assert collected(suffix_dedup.shared_spans(spark.createDataFrame(rows, "doc_id long, text string"))) == cut_of(rows)
+
+
+def test_prefix_doubling_gives_the_same_rows(spark):
+    docs = documents(spark).where("length(text) < 400 or text is null").select("doc_id", "text")
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans")
+    doubled = collected(suffix_dedup.doubled_spans(docs).select(*columns))
+    assert doubled == [r[:4] for r in cut_of([tuple(r) for r in docs.collect()])] and any(r[2] for r in doubled)
+    assert doubled == collected(suffix_dedup.shared_spans(docs).select(*columns))
+    assert suffix_dedup.doubled_spans(empty(spark)).count() == 0
+
+
 def test_suffix_dedup_of_texts_cut_inside_characters(spark):
     tail = "é" * 40
     docs = spark.createDataFrame([(1, "xyz" + tail), (2, "qé" + tail + "w"), (3, tail)], "doc_id long, text string")
@@ -134,15 +183,21 @@ def test_suffix_dedup_of_texts_cut_inside_characters(spark):
 # 3, 8
 
 
-def test_encoder_equals_the_library(spark):
+SPECIAL = ["<|endoftext|>", "<|endoftext|>a", "a <|endoftext|> b", "x<|endoftext|>y", "<|endoftext|><|endoftext|>", " <|endoftext|>", "<|endo", "ftext|>", "é<|endoftext|> é", "ends with <|endoftext|>"]
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_encoder_equals_the_library(spark, special):
+    """By default the strings of special tokens become their ids; two halves in neighbouring texts do not."""
     library = Tokenizer.from_file(BPE)
-    library.encode_special_tokens = True
-    rows = [r["text"] or "" for r in documents(spark).select("text").collect()] + ["  a  b　 c \x85 d", "x  y", " ", "\n\n", "ends with <|endoftext|> in it", "don't  'll \t're"]
+    library.encode_special_tokens = not special
+    rows = [r["text"] or "" for r in documents(spark).select("text").collect()] + ["  a  b　 c \x85 d", "x  y", " ", "\n\n", "ends with <|endoftext|> in it", "don't  'll \t're", *SPECIAL]
     raw = np.frombuffer("".join(rows).encode(), np.uint8)
     at = np.concatenate(([0], np.cumsum([len(t.encode()) for t in rows])))
-    ids, n = bpe.Encoder(BPE).encode(raw, at)
+    ids, n = bpe.Encoder(BPE, special).encode(raw, at)
     expected = [library.encode(t, add_special_tokens=False).ids for t in rows]
     assert n.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+    assert bool((ids == 50256).any()) == special
 
 
 @pytest.mark.parametrize("block", [7, 64, 2048])
@@ -163,24 +218,92 @@ def test_range_coder_compresses_and_blocks_are_checked():
         token_files.unpack_segment(memoryview(bytes(broken)), 0)
 
 
-def test_token_files_and_counts(spark, folder):
-    docs = documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
-    library = Tokenizer.from_file(BPE)
-    library.encode_special_tokens = True
-    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
-    start, files, counts = 0, [], []
-    for i, t in rows:
-        ids = [*library.encode(t, add_special_tokens=False).ids, 50256]
-        files.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        counts.append((start, len(ids) - 1, True))
+def with_special(spark):
+    """The fixtures with a key of their own each, and texts that hold a special token's string."""
+    docs = documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    return docs.union(spark.createDataFrame([(9000 + i, t) for i, t in enumerate(SPECIAL)], "doc_id long, text string"))
+
+
+def test_token_files(spark, folder):
+    docs, library = with_special(spark), Tokenizer.from_file(BPE)
+    start, expected = 0, []
+    for i, t in sorted((r["doc_id"], r["text"] or "") for r in docs.collect()):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    token_files.write_tokens(docs, f"{folder}/files", BPE, 50256)
+    token_files.write_tokens(docs, f"{folder}/files", BPE, 2)
     read = token_files.read_tokens(spark, f"{folder}/files")
-    assert sorted(tuple(r) for r in read.select("key", "start", "n_tokens", "ids_crc32").collect()) == files
-    token_counts.write_flat_tokens(docs, f"{folder}/flat", BPE, 50256)
-    for block in (16, 1 << 20):
-        found = token_counts.scan_separators(spark, f"{folder}/flat", 50256, block).orderBy("ordinal").collect()
-        assert [tuple(r) for r in found] == [(i, *c) for i, c in enumerate(counts)]
+    assert sorted(tuple(r) for r in read.select("key", "start", "n_tokens", "ids_crc32").collect()) == expected
+
+
+def test_flat_files_hold_the_ids_that_are_counted(spark, tmp_path):
+    docs, library = with_special(spark).union(documents(spark).select("doc_id", "text")).repartition(3), Tokenizer.from_file(BPE)
+    library.encode_special_tokens = True  # in a flat file the end id ends documents and nothing else
+    token_counts.write_flat_tokens(docs, f"file://{tmp_path}/flat", BPE, 50256)
+    files = {int(re.match(r"part-(\d+)", p.name)[1]): np.frombuffer(p.read_bytes(), "<u2") for p in (tmp_path / "flat" / "kind=ids").glob("part-*")}
+    found = token_counts.scan_separators(spark, f"file://{tmp_path}/flat/{token_counts.IDS}", 50256)
+    named = found.withColumn("file", token_counts._number(F.col("path"))).join(token_counts.read_names(spark, f"file://{tmp_path}/flat"), ["file", "place"]).collect()
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r["doc_id"]].append(library.encode(r["text"] or "", add_special_tokens=False).ids)
+    got = defaultdict(list)
+    for r in named:
+        ids = files[r["file"]][r["at"] : r["at"] + r["n_tokens"] + 1].tolist()
+        assert ids[-1] == 50256 and r["closed"]
+        got[r["key"]].append(ids[:-1])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in texts.items()} and len(got[None]) > 1
+    assert sorted(r["ordinal"] for r in named) == list(range(docs.count())) and sum(r["n_tokens"] + 1 for r in named) == sum(map(len, files.values()))
+
+
+def test_flat_files_of_nothing_and_of_the_end_id(spark, folder):
+    token_counts.write_flat_tokens(empty(spark), f"{folder}/none", BPE, 50256)
+    assert token_counts.scan_separators(spark, f"{folder}/none/{token_counts.IDS}", 50256).count() == 0 and token_counts.read_names(spark, f"{folder}/none").count() == 0
+    with pytest.raises(Exception, match="holds the end id"):
+        token_counts.write_flat_tokens(spark.createDataFrame([(1, "!")], "doc_id long, text string"), f"{folder}/bad", BPE, 0)
+
+
+@pytest.mark.parametrize(("width", "block", "end"), [(2, 5, 9), (2, 13, 0x0A0A), (2, 40, 0xBBEF), (4, 5, 9), (4, 13, 0x0A0A0A0A), (4, 40, 0x00BFBBEF), (2, 1 << 20, 256)])
+def test_separators_wherever_files_are_cut(spark, tmp_path, monkeypatch, width, block, end):
+    """Ids lie across blocks, line feeds and byte order marks are ids like any other, numbers in names count as numbers."""
+    rng, expected, base, ordinal = np.random.default_rng(block), [], 0, 0
+    (tmp_path / "flat").mkdir()
+    for k, name in enumerate(("part-2", "part-10", "part-99999", "part-100000", "x0", "x1")):
+        ids = rng.choice([9, 10, 0x0A0A, 0x0A01, 0x0100, 0x0900, 50256, 0xBBEF, 256, end], [50, 0, 17, 1, 20, 25][k]).astype(f"<u{width}")
+        raw = ids.tobytes()
+        if k in (2, 4):
+            raw = token_counts.BYTE_ORDER_MARK + raw[3:]
+            ids = np.frombuffer(raw, f"<u{width}")
+        (tmp_path / "flat" / f"{name}.bin").write_bytes(raw)
+        prior = -1
+        for place, x in enumerate([*np.flatnonzero(ids == end).tolist(), len(ids)]):
+            if x < len(ids) or prior + 1 < len(ids):
+                expected.append((name, ordinal, place, base + prior + 1, prior + 1, x - prior - 1, x < len(ids)))
+                ordinal, prior = ordinal + 1, x
+        base += len(ids)
+
+    def stored(df, what, real=token_counts.stored):
+        out = real(df, what)
+        for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(c)
+        return out
+
+    monkeypatch.setattr(token_counts, "stored", stored)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    found = token_counts.scan_separators(spark, f"file://{tmp_path}/flat", end, width).orderBy("ordinal").collect()
+    assert [(r["path"].rpartition("/")[2][:-4], *r[1:]) for r in found] == expected
+
+
+def test_a_flat_file_cut_short_is_named(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"\1\0\2")
+    with pytest.raises(Exception, match="does not divide"):
+        token_counts.scan_separators(spark, f"file://{tmp_path}", 2).collect()
+
+
+def test_files_count_by_number_beyond_five_digits(spark):
+    names = [f"/a/part-{n:05d}-c1f0.c000.txt" for n in (0, 7, 99_999, 100_000, 100_001)]
+    rows = spark.createDataFrame([(n,) for n in reversed(names)], "p string").orderBy(token_counts.in_natural_order(F.col("p"))).collect()
+    assert [r["p"] for r in rows] == names and rows[-1]["p"] < rows[-3]["p"]
 
 
 def test_token_files_of_nulls_repeats_and_nothing(spark, folder):
@@ -195,7 +318,7 @@ def test_token_files_of_nulls_repeats_and_nothing(spark, folder):
 
 def test_open_document_at_a_files_end(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(np.array([4, 5, 9, 9, 6], "<u4").tobytes())
-    got = token_counts.scan_separators(spark, f"file://{tmp_path}", 9, 2).orderBy("ordinal").collect()
+    got = token_counts.scan_separators(spark, f"file://{tmp_path}", 9, 4).orderBy("ordinal").select("ordinal", "start", "n_tokens", "closed").collect()
     assert [tuple(r) for r in got] == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, False)]
 
 

@@ -6,7 +6,8 @@ import __spark_entry__
 import corpus_pipeline
 from keystrata.llm.shared import stored
 from tests.llm.fixtures import documents, empty
-from tests.llm.test_operators import SF, cut_of, leaks_of, roots, simhash_of
+from tests.llm.test_operators import SF, cut_of, leaks_of, roots
+from tests.llm.test_similar import alike, shingles_of
 
 
 def rows_of(df):
@@ -28,9 +29,8 @@ def test_each_stage_takes_effect_on_what_it_is_given(spark):
             assert without <= gone and len(before) - len(after) == sum(t in gone for _, t in before)
             assert all(set(t) == {"a"} or "▁" in t for t in gone - without)  # letters of no language
         elif name == "simhash near-dedup":
-            prints = [simhash_of(t) for _, t in before]
-            groups = {}
-            for (i, _), k in zip(before, roots(prints, lambda a, b: (a ^ b).bit_count() <= 4), strict=True):
+            sets, groups = [shingles_of(t) for _, t in before], {}
+            for (i, _), k in zip(before, roots(sets, alike), strict=True):
                 groups.setdefault(k, set()).add(i)
             assert {i for i, _ in after if i is not None} == {min(x for x in g if x is not None) for g in groups.values() if g != {None}}
         elif name == "suffix-array dedup":
