@@ -88,23 +88,25 @@ class _Model:
             self.f12 >>= 1
 
 
-def _due(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Blocks that have a word to pass on; where a carry might still change it, the width is cut so that it can't."""
-    small = np.flatnonzero(width < _TOP)
-    if not len(small):
-        return small
-    a, w = low[small], width[small]
-    settled = (a ^ (a + w)) < _TOP
-    tight = ~settled & (w < _BOT)
-    at = small[tight]
-    width[at] = (~low[at] + np.uint64(1)) & (_BOT - np.uint64(1))
-    return small[settled | tight]
+def _due(low: np.ndarray, width: np.ndarray) -> np.ndarray | None:
+    """Which blocks have a word to pass on, None for none; where a carry might still change it, the width is cut so that it can't."""
+    settled, narrow = (low ^ (low + width)) < _TOP, width < _BOT
+    due = settled | narrow
+    if not due.any():
+        return None
+    narrow &= ~settled
+    if narrow.any():
+        width[narrow] = (~low[narrow] + np.uint64(1)) & (_BOT - np.uint64(1))
+    return due
 
 
 class _Writer:
-    def __init__(self, n: int, words: int):
+    """Words of all blocks, step by step; a mask says whose each is."""
+
+    def __init__(self, n: int):
         self.low, self.width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.out, self.n = np.zeros((n, words), "<u2"), np.zeros(n, np.int64)
+        self.words: list[np.ndarray] = []
+        self.due: list[np.ndarray] = []
 
     def put(self, cum: np.ndarray, freq: np.ndarray, total: np.ndarray, place: np.ndarray, bits: np.ndarray) -> None:
         """Codes the part [cum, cum + freq) of total (below 2**16) and ``bits`` (0 to 16) even bits in it; (0, 1, 1) without bits changes nothing."""
@@ -113,31 +115,35 @@ class _Writer:
         self.width *= freq
         self.width >>= bits
         self.low += place * self.width
-        while len(due := _due(self.low, self.width)):
-            low = self.low[due]
-            self.out[due, self.n[due]] = low >> np.uint64(48)
-            self.n[due] += 1
-            self.low[due] = low << _WORD
-            self.width[due] <<= _WORD
+        while (due := _due(self.low, self.width)) is not None:
+            self._pass_on(due)
+
+    def _pass_on(self, due: np.ndarray) -> None:
+        self.words.append((self.low >> np.uint64(48)).astype("<u2"))
+        self.due.append(due)
+        shift = due * _WORD
+        self.low <<= shift
+        self.width <<= shift
 
     def end(self) -> list[bytes]:
-        rows = np.arange(len(self.n))
-        for k in range(4):
-            self.out[rows, self.n + k] = self.low >> np.uint64(48)
-            self.low <<= _WORD
-        return [row[: n + 4].tobytes() for row, n in zip(self.out, self.n.tolist(), strict=True)]
+        for _ in range(4):
+            self._pass_on(np.ones(len(self.low), bool))
+        due = np.ascontiguousarray(np.stack(self.due).T)
+        flat, stop = np.ascontiguousarray(np.stack(self.words).T)[due].tobytes(), 2 * np.cumsum(due.sum(axis=1))
+        return [flat[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
 
 class _Reader:
     def __init__(self, coded: list[bytes]):
         n, most = len(coded), max(map(len, coded)) // 2 + 8
-        self.words = np.zeros((n, most), "<u2")
-        for row, b in zip(self.words, coded, strict=True):
+        words = np.zeros((n, most), "<u2")
+        for row, b in zip(words, coded, strict=True):
             row[: len(b) // 2] = np.frombuffer(b, "<u2")
+        self.flat, self.most = words.ravel(), np.arange(1, n + 1) * most - 1
         self.low, self.width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.code, self.at = np.zeros(n, np.uint64), np.full(n, 4, np.int64)
+        self.code, self.at = np.zeros(n, np.uint64), np.arange(n) * most + 4
         for k in range(4):
-            self.code = self.code << _WORD | self.words[:, k].astype(np.uint64)
+            self.code = self.code << _WORD | words[:, k].astype(np.uint64)
 
     def value(self, total: np.ndarray) -> np.ndarray:
         self.width //= total
@@ -150,13 +156,14 @@ class _Reader:
         self.width >>= bits
         place = np.minimum((self.code - self.low) // self.width, (np.uint64(1) << bits) - np.uint64(1))
         self.low += place * self.width
-        while len(due := _due(self.low, self.width)):
-            at = self.at[due]
-            word = self.words[due, np.minimum(at, self.words.shape[1] - 1)]  # damaged bytes may ask for more
-            self.code[due] = self.code[due] << _WORD | word.astype(np.uint64)
-            self.at[due] = at + 1
-            self.low[due] <<= _WORD
-            self.width[due] <<= _WORD
+        while (due := _due(self.low, self.width)) is not None:
+            word = self.flat[np.minimum(self.at, self.most)]  # damaged bytes may ask for more
+            shift = due * _WORD
+            self.code <<= shift
+            self.code |= word * due.astype(np.uint64)
+            self.at += due
+            self.low <<= shift
+            self.width <<= shift
         return place
 
 
@@ -173,7 +180,7 @@ def _encode(ids: np.ndarray, block: int) -> list[bytes]:
     grid = np.ascontiguousarray(grid.T)
     short = len(ids) - (n - 1) * block
     large = len(ids) and int(ids.max()) >= 1 << 16
-    model, writer = _Model(n), _Writer(n, 3 * block + 16)
+    model, writer = _Model(n), _Writer(n)
     for t in range(min(block, len(ids))):
         x, (f, cum) = grid[t], model.look()
         out = model.outcome(x)
