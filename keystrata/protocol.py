@@ -11,8 +11,12 @@ import socket
 import socketserver
 import struct
 import threading
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark import inheritable_thread_target
+
 from keystrata.kv import InvalidArgument, KVStore
 from keystrata.operators.log import MAX_KEY, MAX_VALUE
 from keystrata.session import Session
@@ -183,10 +187,31 @@ $("run").onclick = async () => {
 </script>"""
 
 
-def http_server(session: Session, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
-    """``POST /api/sql`` with {"sql": text}, ``GET /api/health``, and a page to type statements in at ``/``; not started."""
+def http_server(session: Session, host: str = "127.0.0.1", port: int = 0, limit: float | None = None) -> ThreadingHTTPServer:
+    """``POST /api/sql`` with {"sql": text}, ``GET /api/health``, and a page to type statements in at ``/``; not started.
+
+    ``limit``: seconds after which a statement is answered as failed; its jobs are cancelled.
+    """
     lock = threading.Lock()
 
+    def limited(text: str) -> str:
+        """The result as JSON."""
+        if limit is None:
+            return session.sql(text).to_json()
+        context, group = session.spark.sparkContext, f"http-{uuid.uuid4().hex}"
+
+        def run() -> str:
+            context.setJobGroup(group, text)
+            return session.sql(text).to_json()
+
+        with ThreadPoolExecutor(1) as pool:
+            made = pool.submit(inheritable_thread_target(session.spark)(run))
+            try:
+                return made.result(limit)
+            except TimeoutError:
+                context.cancelJobGroup(group)
+                raise TimeoutError("Connection to the server timed out") from None
+
     class Handler(BaseHTTPRequestHandler):
         def _send(self, code: int, body: str = "", kind: str = "application/json") -> None:
             self.send_response(code)
@@ -219,7 +244,7 @@ def http_server(session: Session, host: str = "127.0.0.1", port: int = 0) -> Thr
                 return self._send(400, json.dumps({"ok": False, "message": "Missing \"sql\" field"}))
             try:
                 with lock:
-                    self._send(200, session.sql(text).to_json())
+                    self._send(200, limited(text))
             except Exception as e:  # the bridge answers whatever happens
                 self._send(500, json.dumps({"ok": False, "message": str(e), "columns": [], "rows": []}))
 

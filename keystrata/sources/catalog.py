@@ -36,9 +36,7 @@ class Table:
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.files = spark, Files(spark, root)
-        self.tables: dict[str, Table] = {}
-        for folder in self.files.list("tables"):
-            self.get(unquote(folder))
+        self.tables: dict[str, Table] = {}  # the opened ones; others open when they are named
 
     def _folder(self, name: str) -> str:
         return f"tables/{quote(name, safe='')}"
@@ -84,7 +82,9 @@ class Catalog:
         self.files.delete(self._folder(name))
 
     def names(self) -> list[str]:
-        return sorted(self.tables, key=lambda n: n.encode())
+        """All tables, opened or not, in byte order."""
+        there = {unquote(f) for f in self.files.list("tables") if self.files.published(f"tables/{f}/schema.json") is not None}
+        return sorted(there, key=lambda n: n.encode())
 
     def next_row_id(self, name: str) -> int:
         """A number for a new row, from 1; explicit keys do not advance it."""

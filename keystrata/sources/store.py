@@ -33,9 +33,11 @@ class Store:
         self.memtable: dict[str, tuple[int, str, tuple | None, int]] = {}
         self.quarantined: list[str] = []
         self.memory_bytes = 0
-        state = json.loads(self.files.published("manifest.json") or '{"segments": [], "seq": 0, "flushed": 0}')
+        state = json.loads(self.files.published("manifest.json") or '{"segments": [], "seq": 0, "flushed": 0, "batches": {}, "ties": false}')
         self.segments: list[dict] = state["segments"]
         self.seq: int = state["seq"]
+        self.batches: dict[str, int] = state["batches"]
+        self.ties: bool = state["ties"]
         self._logged: int = state["flushed"]
         self._check_segments()
         self._recover()
@@ -110,11 +112,23 @@ class Store:
             if put and len(self.segments) >= self.merge_segments:
                 self.compact()
 
-    def append(self, rows: DataFrame) -> int:
-        """Writes ``rows`` (_key, _op and payload; keys differ) as a new segment above all else; their number."""
+    def append(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Writes ``rows`` (_key, _op and payload; keys differ) as a new segment; their number.
+
+        Without a column _seq they are newer than all else; with one, each takes its place among the versions of its key by it.
+        ``batch`` names a writer and its running number: a number that is not above the last one is written already and left out.
+        """
+        if batch is not None and self.batches.get(batch[0], -1) >= batch[1]:
+            return 0
         self.flush()
-        self.seq += 1
-        n = self._write(rows.withColumn("_seq", F.lit(self.seq).cast("long")))
+        if batch is not None:
+            self.batches = self.batches | {batch[0]: batch[1]}
+        if "_seq" in rows.columns:
+            self.ties = True  # a record may come twice
+            n = self._write(rows)
+        else:
+            self.seq += 1
+            n = self._write(rows.withColumn("_seq", F.lit(self.seq).cast("long")))
         if n and len(self.segments) >= self.merge_segments:
             self.compact()
         return n
@@ -147,7 +161,8 @@ class Store:
         sorted_ = rows.select(columns).repartitionByRange("_key").sortWithinPartitions("_key")
         writer = sorted_.write.option("parquet.bloom.filter.enabled#_key", "true")
         writer.parquet(self.files.full(name))
-        n, low, high = self._read(name).agg(F.count("*"), F.min("_key"), F.max("_key")).first()
+        n, low, high, last = self._read(name).agg(F.count("*"), F.min("_key"), F.max("_key"), F.max("_seq")).first()
+        self.seq = max(self.seq, last or 0)
         if n or replace:
             self.segments = ([] if replace else self.segments) + ([{"name": name, "rows": n, "low": low, "high": high}] if n else [])
             self._publish(self._logged)
@@ -156,13 +171,13 @@ class Store:
         return n
 
     def _publish(self, flushed: int) -> None:
-        self.files.publish("manifest.json", json.dumps({"segments": self.segments, "seq": self.seq, "flushed": flushed}).encode())
+        self.files.publish("manifest.json", json.dumps({"segments": self.segments, "seq": self.seq, "flushed": flushed, "batches": self.batches, "ties": self.ties}).encode())
 
     def compact(self) -> None:
         """All segments become one: the latest versions, without deletions where no external base lies below."""
         if not self.segments:
             return
-        won = latest(self._segments(), "_key", "_seq", ties=False)
+        won = latest(self._segments(), "_key", "_seq", ties=self.ties)
         self._write(won if self.base is not None else won.where(F.col("_op") == PUT), replace=True)
 
     def vacuum(self) -> list[str]:
@@ -197,10 +212,10 @@ class Store:
         if versions is None:
             return self.spark.createDataFrame([], self.schema).select(quoted) if self.base is None else self.base
         if self.base is not None:
-            return merge_on_read(self.base, versions, "_key", "_seq", "_op", ties=False)
+            return merge_on_read(self.base, versions, "_key", "_seq", "_op", ties=self.ties)
         if not self.memtable and len(self.segments) == 1:  # a segment holds a key once
             return versions.where(F.col("_op") == PUT).select(quoted)
-        return latest(versions, "_key", "_seq", ties=False).where(F.col("_op") == PUT).select(quoted)
+        return latest(versions, "_key", "_seq", ties=self.ties).where(F.col("_op") == PUT).select(quoted)
 
     def get(self, key: str) -> tuple | None:
         """The payload of a live key, or None."""

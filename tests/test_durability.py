@@ -1,6 +1,10 @@
+import json
 import random
 import socket
 import struct
+import urllib.error
+import urllib.request
+from threading import Thread
 
 import pytest
 
@@ -10,10 +14,11 @@ from keystrata.functions import values
 from keystrata.kv import KVStore
 from keystrata.operators import indexes
 from keystrata.operators.merge import latest
-from keystrata.protocol import Client, Server, request
+from keystrata.protocol import Client, Server, http_server, request
 from keystrata.session import Session
 from keystrata.sources import codec
 from keystrata.sources.files import Files
+from keystrata.streaming.ingest import ingest
 from pyspark.sql import functions as F
 
 
@@ -155,3 +160,47 @@ def test_a_change_evaluates_its_rows_once(spark, folder):
     assert s.sql("UPDATE orders SET o_totalprice = 1 WHERE o_orderkey < 10").ok and s.sql("DELETE FROM orders WHERE o_totalprice > 1").ok
     assert {r["o_totalprice"] for r in s.table("orders").collect()} == {1.0}
     assert not [n for n in s.catalog.get("orders").store.files.list() if n.startswith("aside-")]
+
+
+def test_late_and_repeated_records_of_a_stream(spark, folder):
+    kv, schema = KVStore(spark, f"{folder}/kv"), "k string, seq long, op string, v string"
+    parts = ([("a", 5, "PUT", "new"), ("b", 1, "PUT", "b1")], [("a", 3, "PUT", "late"), ("b", 1, "PUT", "b1"), ("b", 2, "DELETE", None), ("c", None, "PUT", "x")], [("b", 1, "PUT", "late"), ("d", 9, "PUT", "d")])
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        ingest(spark.readStream.schema(schema).parquet(f"{folder}/in"), kv, f"{folder}/ck").awaitTermination()
+        kv = KVStore(spark, f"{folder}/kv")
+    assert sorted(tuple(r) for r in kv.frame().collect()) == [("a", "new"), ("d", "d")]
+    segments = kv.segment_count()
+    again = spark.createDataFrame([("a", 99, "PUT", "retry")], "_key string, _seq long, _op string, v string")
+    assert kv.store.append(again, (f"{folder}/ck", 2)) == 0 and kv.segment_count() == segments
+    kv.put("a", "by hand")
+    assert kv.get("a") == "by hand"
+    kv.compact()
+    assert sorted(tuple(r) for r in kv.frame().collect()) == [("a", "by hand"), ("d", "d")]
+
+
+def test_a_point_lookup_and_a_range_reach_the_segments_scan(spark, folder):
+    kv = KVStore(spark, f"{folder}/kv")
+    kv.put_all(spark.range(1000).selectExpr("lpad(id, 6, '0') k", "cast(id as string) v"))
+    for rows, pushed in ((kv.frame().where("k = '000500'"), "EqualTo(_key,000500)"), (kv.scan("000100", "000200"), "GreaterThanOrEqual(_key,000100)")):
+        assert pushed in rows._jdf.queryExecution().toString()
+    assert kv.get("000500") == "500" and kv.scan("000100", "000200").count() == 101
+
+
+def test_a_statement_beyond_the_limit_is_answered(spark, folder):
+    s = Session(spark, f"{folder}/db")
+    s.sql("CREATE TABLE t (id INT PRIMARY KEY)")
+    s.sql("INSERT INTO t VALUES (1)")
+    for limit, code in ((0.0001, 500), (60, 200)):
+        http = http_server(s, limit=limit)
+        Thread(target=http.serve_forever, daemon=True).start()
+        ask = urllib.request.Request(f"http://127.0.0.1:{http.server_address[1]}/api/sql", b'{"sql": "SELECT * FROM t"}')
+        try:
+            with urllib.request.urlopen(ask, timeout=60) as r:
+                status, body = r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            status, body = e.code, json.loads(e.read())
+        assert status == code and set(body) == {"ok", "message", "columns", "rows"}
+        page = urllib.request.urlopen(f"http://127.0.0.1:{http.server_address[1]}/", timeout=60).read()
+        assert b"<textarea" in page
+        http.shutdown()
