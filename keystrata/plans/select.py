@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.plans import messages as M
 from keystrata.plans.predicates import fold
 from keystrata.plans.statements import Select
 
@@ -25,9 +26,9 @@ def plan_select(s: Select, table: DataFrame, kinds: dict[str, str | None], order
     names = list(kinds) if s.columns is None else list(s.columns)
     for name in names:
         if name not in kinds:
-            raise PlanError(f"Unknown column '{name}'")
+            raise PlanError(M.NO_COLUMN.format(name))
     if s.order_by is not None and s.order_by not in names:
-        raise PlanError(f"ORDER BY column '{s.order_by}' must be in SELECT list")
+        raise PlanError(M.UNSORTABLE.format(s.order_by))
     df = table.where(fold(s.where, kinds)) if s.where else table
     key = [F.col(KEY)] if KEY in table.columns else []
     if s.order_by is not None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from keystrata.functions.columns import key_text as key_column
 from keystrata.functions.values import INT, TEXT, Value, convert, key_text, kind_of, render
 from keystrata.operators.merge import DELETE, PUT
+from keystrata.plans import messages as M
 from keystrata.plans import statements as S
 from keystrata.plans.lexer import ParseError
 from keystrata.plans.parser import parse
@@ -57,7 +58,7 @@ class Result:
 
     @property
     def message(self) -> str:
-        return f"{len(self.rows)} row(s) returned." if self.text is None else self.text
+        return M.RETURNED.format(len(self.rows)) if self.text is None else self.text
 
     def rendered(self) -> list[list[str]]:
         """All cells as text."""
@@ -135,7 +136,7 @@ class Session:
     def _table(self, name: str) -> Table:
         t = self.catalog.get(name)
         if t is None:
-            raise StatementError(f"Table '{name}' does not exist")
+            raise StatementError(M.NO_TABLE.format(name))
         return t
 
     def _writable(self, name: str) -> Table:
@@ -148,36 +149,36 @@ class Session:
 
     def _create(self, s: S.CreateTable) -> Result:
         if not s.name:
-            raise StatementError("Table name cannot be empty")
+            raise StatementError(M.NO_NAME)
         if not s.columns:
-            raise StatementError("Table must have at least one column")
+            raise StatementError(M.NO_COLUMNS)
         if not s.primary_key:
-            raise StatementError("Table must have a PRIMARY KEY")
+            raise StatementError(M.NO_KEY)
         if self.catalog.get(s.name) is not None:
-            raise StatementError(f"Table '{s.name}' already exists")
+            raise StatementError(M.TABLE_EXISTS.format(s.name))
         if len({c.name for c in s.columns}) < len(s.columns):
             raise StatementError("column names must differ")
         if self.spark.conf.get("spark.sql.caseSensitive") != "true" and len({c.name.lower() for c in s.columns}) < len(s.columns):
             raise StatementError("columns whose names differ in case alone need spark.sql.caseSensitive")
         self.catalog.create(s.name, list(s.columns), s.primary_key)
-        return Result(text=f"Table '{s.name}' created.")
+        return Result(text=M.CREATED.format(s.name))
 
     def _drop(self, s: S.DropTable) -> Result:
         if self.catalog.get(s.name) is None:
             if s.if_exists:
-                return Result(text="OK")
-            raise StatementError(f"Table '{s.name}' does not exist")
+                return Result(text=M.NOTHING_DROPPED)
+            raise StatementError(M.NO_TABLE.format(s.name))
         self.catalog.drop(s.name)
-        return Result(text=f"Table '{s.name}' dropped.")
+        return Result(text=M.DROPPED.format(s.name))
 
     def _show(self, s: S.ShowTables) -> Result:
         names = self.catalog.names()
-        return Result(text=f"{len(names)} table(s).", df=self.spark.createDataFrame([(n,) for n in names], "table_name string").orderBy("table_name"), _rows=[(n,) for n in names])
+        return Result(text=M.TABLES.format(len(names)), df=self.spark.createDataFrame([(n,) for n in names], "table_name string").orderBy("table_name"), _rows=[(n,) for n in names])
 
     def _describe(self, s: S.Describe) -> Result:
         t, say = self._table(s.table), {True: "YES", False: "NO"}
         rows = [(c.name, c.kind, say[c.not_null], say[c.primary_key]) for c in t.columns]
-        return Result(text=f"{len(rows)} column(s).", df=self.spark.createDataFrame(rows, "column_name string, type string, not_null string, primary_key string"), _rows=rows)
+        return Result(text=M.COLUMNS.format(len(rows)), df=self.spark.createDataFrame(rows, "column_name string, type string, not_null string, primary_key string"), _rows=rows)
 
     # rows
 
@@ -197,25 +198,25 @@ class Session:
         t = self._writable(s.table)
         names = list(s.columns) or list(t.kinds)
         if len(names) != len(s.values):
-            raise StatementError(f"Column count ({len(names)}) doesn't match value count ({len(s.values)})")
+            raise StatementError(M.COUNTS_DIFFER.format(len(names), len(s.values)))
         row: dict[str, object] = dict.fromkeys(t.kinds)
         for name, v in zip(names, s.values, strict=True):
             if name not in t.kinds:
-                raise StatementError(f"Unknown column '{name}' in table '{s.table}'")
+                raise StatementError(M.NO_COLUMN_IN.format(name, s.table))
             row[name] = self._coerced(t, name, v)
         key = t.primary_key
         if auto_key and key in row and row[key] is None and t.kinds[key] == INT:
             row[key] = self.catalog.next_row_id(s.table)
         for c in t.columns:
             if c.not_null and row[c.name] is None:
-                raise StatementError(f"Column '{c.name}' cannot be NULL")
+                raise StatementError(M.NULL_CELL.format(c.name))
         if row.get(key) is None:
-            raise StatementError(f"PRIMARY KEY '{key}' value required")
+            raise StatementError(M.NULL_KEY.format(key))
         text = key_text(t.kinds[key], row[key])
         if t.store.get(text) is not None:
-            raise StatementError(f"Duplicate PRIMARY KEY value: {render(t.kinds[key], row[key])}")
+            raise StatementError(M.SAME_KEY.format(render(t.kinds[key], row[key])))
         t.store.apply([(PUT, text, tuple(row.values()))])
-        return Result(text="1 row inserted.")
+        return Result(text=M.INSERTED)
 
     def insert_auto(self, s: S.Insert) -> Result:
         """INSERT as a statement value, with row numbers for missing integer keys."""
@@ -230,17 +231,17 @@ class Session:
             t = self._writable(name)
             unknown = [c for c in rows.columns if c not in t.kinds]
             if unknown:
-                raise StatementError(f"Unknown column '{unknown[0]}' in table '{name}'")
+                raise StatementError(M.NO_COLUMN_IN.format(unknown[0], name))
             types = {f.name: f.dataType for f in t.store.payload.fields}
             full = rows.select([(F.col(f"`{c}`") if c in rows.columns else F.lit(None)).cast(types[c]).alias(c) for c in t.kinds])
             for c in t.columns:
                 if c.not_null and not full.where(F.col(f"`{c.name}`").isNull()).isEmpty():
-                    raise StatementError(f"Column '{c.name}' cannot be NULL")
+                    raise StatementError(M.NULL_CELL.format(c.name))
             keyed = full.withColumn("_key", key_column(t.kinds[t.primary_key], F.col(f"`{t.primary_key}`")))
             twice = keyed.groupBy("_key").count().where("count > 1").select("_key").limit(1)
             there = keyed.join(t.frame().select("_key"), "_key", "left_semi").select("_key").limit(1)
             if (hit := twice.union(there).head()) is not None:
-                raise StatementError(f"Duplicate PRIMARY KEY value: {hit[0]}")
+                raise StatementError(M.SAME_KEY.format(hit[0]))
             return Result(text=f"{t.store.append(keyed.withColumn('_op', F.lit(PUT)))} row(s) inserted.")
         except StatementError as e:
             return Result(INVALID_ARGUMENT, str(e))
@@ -263,16 +264,16 @@ class Session:
         for name, v in s.assignments:
             if name not in t.kinds:
                 if matched.isEmpty():
-                    return Result(text="0 row(s) updated.")
-                raise StatementError(f"Unknown column '{name}'")
+                    return Result(text=M.UPDATED.format(0))
+                raise StatementError(M.NO_COLUMN.format(name))
             values[name] = F.lit(self._coerced(t, name, v)).cast(t.store.payload[name].dataType)
         # rows keep their key, also where the primary key's column is set
         changed = matched.select("_key", *[(values[c] if c in values else F.col(f"`{c}`")).alias(c) for c in t.kinds])
-        return Result(text=f"{self._change(t, changed, PUT)} row(s) updated.")
+        return Result(text=M.UPDATED.format(self._change(t, changed, PUT)))
 
     def _delete(self, s: S.Delete) -> Result:
         t = self._writable(s.table)
         matched = t.frame().where(fold(s.where, t.kinds)) if s.where else t.frame()
-        return Result(text=f"{self._change(t, matched, DELETE)} row(s) deleted.")
+        return Result(text=M.DELETED.format(self._change(t, matched, DELETE)))
 
 
