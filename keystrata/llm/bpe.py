@@ -17,16 +17,19 @@ from itertools import chain, compress, repeat
 import numpy as np
 import pyarrow as pa
 
-from keystrata.llm.shared import ragged, worker_cache
+from keystrata.llm.shared import buffers, ragged, worker_cache
 
 #: Chunks whose ids a worker keeps; beyond that it starts anew.
 CACHE = 1_200_000
-_WHITE = np.zeros(256, bool)
 _BLANK = frozenset([*range(0x09, 0x0E), *range(0x1C, 0x21)])
-_WHITE[list(_BLANK)] = True
-_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
-_MARK[33:127] = ~_LETTER[33:127]
+#: Bits of a byte's kind: white space, ASCII letter or digit, ASCII punctuation, no ASCII, lead byte of two.
+WHITE, LETTER, MARK, WIDE, TWO = 1, 2, 4, 8, 16
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = MARK
+_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = LETTER
+_KIND[list(_BLANK)] = WHITE
+_KIND[0x80:] = WIDE
+_KIND[0xC3:0xE0] |= TWO
 
 
 class Encoder:
@@ -58,8 +61,10 @@ class Encoder:
 
     def _learn(self, chunks: list[bytes]) -> np.ndarray:
         """Each chunk's place among the new ones."""
-        safe = [c[0] in _BLANK and c[-1] not in _BLANK and (c[-1] < 0x80 or (len(c) > 1 and 0xC3 <= c[-2] <= 0xDF)) for c in chunks]
-        joined, alone = list(compress(chunks, safe)), [c for c, s in zip(chunks, safe, strict=True) if not s]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        kind, end = _KIND[np.frombuffer(b"".join(chunks), np.uint8)], np.cumsum(sizes)
+        safe = (kind[end - sizes] & WHITE > 0) & ((kind[end - 1] & (LETTER | MARK) > 0) | ((sizes > 1) & (kind[end - 1] & WIDE > 0) & (kind[end - 2] & TWO > 0)))
+        joined, alone = list(compress(chunks, safe.tolist())), list(compress(chunks, (~safe).tolist()))
         found = self._ids([b"".join(joined[i : i + 256]).decode("utf-8", "replace") for i in range(0, len(joined), 256)])
         ids = np.fromiter(chain.from_iterable(found), np.uint32)
         ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))), "left") + 1
@@ -68,8 +73,8 @@ class Encoder:
         self.known.update(zip(joined + alone, range(len(self.known), len(self.known) + len(chunks)), strict=True))
         self.flat = np.concatenate((self.flat, ids, more))
         self.sizes = np.concatenate((self.sizes, np.diff(ends, prepend=0), np.array([len(g) for g in found], np.int64)))
-        kept, place = np.array(safe, bool), np.empty(len(chunks), np.int64)
-        place[kept], place[~kept] = np.arange(len(joined)), len(joined) + np.arange(len(alone))
+        place = np.empty(len(chunks), np.int64)
+        place[safe], place[~safe] = np.arange(len(joined)), len(joined) + np.arange(len(alone))
         return place
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,11 +82,12 @@ class Encoder:
         n = len(at) - 1
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        white = _WHITE[raw]
-        start = white.copy()
-        start[1:] &= ~white[:-1] & (raw[:-1] < 0x80)
-        start[1:] |= _LETTER[raw[:-1]] & _MARK[raw[1:]]
-        start[2:] |= white[2:] & (raw[1:-1] >= 0x80) & (raw[:-2] >= 0xC3) & (raw[:-2] <= 0xDF)
+        kind = _KIND[raw]
+        start = (kind & WHITE).astype(bool)
+        # white space behind ASCII or a character of two bytes that is no white space, a mark behind a letter
+        start[1:] &= (kind[:-1] & (WHITE | WIDE)) == 0
+        start[1:] |= (kind[1:] & MARK & (kind[:-1] & LETTER) << 1).astype(bool)
+        start[2:] |= (kind[2:] & WHITE & (kind[1:-1] >> 3) & (kind[:-2] >> 4)).astype(bool)
         start[at[:-1][at[:-1] < len(raw)]] = True
         if self.marks is not None:
             for m in self.marks.finditer(raw):
@@ -93,7 +99,9 @@ class Encoder:
         begin = np.flatnonzero(start)
         offsets = np.append(begin, len(raw)).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
+        data, ends = buffers(chunks.dictionary)
+        whole, ends = data.tobytes(), ends.tolist()
+        distinct = [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         numbers = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(numbers < 0)
         if len(new):
@@ -101,10 +109,10 @@ class Encoder:
                 self._forget()
                 new = np.arange(len(distinct))
             numbers[new] = len(self.known) + self._learn([distinct[i] for i in new.tolist()])
-        sizes, starts = self.sizes[numbers], (np.cumsum(self.sizes) - self.sizes)[numbers]
+        sizes, starts = self.sizes[numbers], (np.cumsum(self.sizes) - self.sizes)[numbers].astype(np.int32)
         index = chunks.indices.to_numpy()
         each = sizes[index]
-        ids = self.flat[ragged(starts[index], each)]
+        ids = self.flat[ragged(starts[index], each, np.int32)]
         total = np.concatenate(([0], np.cumsum(each)))
         return ids, np.diff(total[np.searchsorted(begin, at)])
 

@@ -178,10 +178,10 @@ def tidied(run):
     return through
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The indices start, start + 1, ... of each run, one run after the other."""
+def ragged(starts: np.ndarray, sizes: np.ndarray, kind: type = np.int64) -> np.ndarray:
+    """The indices start, start + 1, ... of each run, one run after the other, as integers of ``kind``."""
     total = np.cumsum(sizes)
-    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(starts - (total - sizes), sizes)
+    return np.arange(int(total[-1]) if len(total) else 0, dtype=kind) + np.repeat((starts - (total - sizes)).astype(kind), sizes)
 
 
 def pack(a: np.ndarray) -> bytes:

@@ -35,6 +35,9 @@ _BITS = np.array([0, 0, 0, 9, 11, 13, 13, 14, 15, 32], np.uint64)
 _CLASS = (np.searchsorted(_BASE[4:].astype(np.int64), np.arange(65537), "right") + 3).astype(np.int64)
 #: What a slot that predicts nothing holds; larger ids are never predicted.
 _NONE = (1 << 28) - 1
+#: What a miss and a hit change a confidence of 0 to 7 by; a miss and a hit of the commonest id.
+_CHANGE = np.array([0, -1, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], np.int32)
+_UP = np.array([-1, 1], np.int32)
 _TOP, _BOT, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
 
 
@@ -43,19 +46,22 @@ class _Model:
 
     def __init__(self, n: int):
         self.row, self.n = np.arange(n), n
+        self.row16 = np.arange(n, dtype=np.int32) * 16
+        self.rows = np.arange(n, dtype=np.uint32) * np.uint32(_SLOTS)
         self.slot1, self.slot2 = (np.full(n * _SLOTS, _NONE << 3, np.int32) for _ in range(2))
-        self.p0, self.c0 = np.full(n, _NONE, np.int64), np.zeros(n, np.int64)
+        self.p0, self.c0 = np.full(n, _NONE, np.int32), np.zeros(n, np.int32)
         self.f0, self.f12 = np.ones((_OUT, n), np.uint16), np.zeros((_OUT, n * 16), np.uint16)
-        self.last, self.before, self.steps = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        self.last, self.before, self.steps = np.zeros(n, np.uint32), np.zeros(n, np.uint32), 0
 
     def look(self) -> tuple[np.ndarray, np.ndarray]:
         """Frequencies of the outcomes (outcome, block) and their sums up to each; all are below 2**16."""
-        spread = self.last * 40503
-        self.s1 = self.row * _SLOTS + ((spread >> 4) & (_SLOTS - 1))
-        self.s2 = self.row * _SLOTS + (((spread + self.before * 30011) >> 3) & (_SLOTS - 1))
+        spread = self.last * np.uint32(40503)  # the low bits alone matter
+        self.s1 = self.rows + ((spread >> np.uint32(4)) & np.uint32(_SLOTS - 1))
+        self.s2 = self.rows + (((spread + self.before * np.uint32(30011)) >> np.uint32(3)) & np.uint32(_SLOTS - 1))
         self.e1, self.e2 = self.slot1[self.s1], self.slot2[self.s2]
         self.g1, self.g2 = self.e1 >> 3, self.e2 >> 3
-        self.k = self.row * 16 + (np.minimum(self.e1 & 7, 3) | np.minimum(self.e2 & 7, 3) << 2)
+        self.conf1, self.conf2 = self.e1 & 7, self.e2 & 7
+        self.k = self.row16 + (np.minimum(self.conf1, 3) | np.minimum(self.conf2, 3) << 2)
         f = self.f12.take(self.k, axis=1)
         f += self.f0
         cum = np.empty_like(f)
@@ -66,22 +72,24 @@ class _Model:
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
         out = _CLASS[np.minimum(ids, 65536)]
-        out[ids == self.p0] = 2
-        out[ids == self.g1] = 1
-        out[ids == self.g2] = 0
+        self.right0, self.right1, self.right2 = ids == self.p0, ids == self.g1, ids == self.g2
+        out[self.right0] = 2
+        out[self.right1] = 1
+        out[self.right2] = 0
         return out
 
     def update(self, ids: np.ndarray, out: np.ndarray) -> None:
+        """Takes in ids, whose ``outcome`` was asked for before."""
         self.f0.ravel()[out * self.n + self.row] += _STEP
         self.f12.ravel()[out * (16 * self.n) + self.k] += _STEP
         kept = (np.minimum(ids, _NONE) << 3).astype(np.int32)
-        for slots, at, e, guess in ((self.slot1, self.s1, self.e1, self.g1), (self.slot2, self.s2, self.e2, self.g2)):
-            conf = e & 7  # rises with a hit, halves with a miss; the lowest gives way
-            slots[at] = np.where(guess == ids, e + (conf < 7), np.where(conf <= 1, kept, (e - conf) | conf >> 1))
-        self.c0 += np.where(self.p0 == ids, 1, -1)
-        gone = self.c0 < 0
+        for slots, at, e, conf, right in ((self.slot1, self.s1, self.e1, self.conf1, self.right1), (self.slot2, self.s2, self.e2, self.conf2, self.right2)):
+            # confidence rises with a hit, halves with a miss; the lowest gives way
+            slots[at] = np.where(right | (conf > 1), e + _CHANGE[conf + right * np.int32(8)], kept)
+        self.c0 += _UP[self.right0.view(np.uint8)]
+        gone = np.flatnonzero(self.c0 < 0)
         self.p0[gone], self.c0[gone] = np.minimum(ids[gone], _NONE), 1
-        self.before, self.last = self.last, ids
+        self.before, self.last = self.last, ids.astype(np.uint32)
         self.steps += 1
         if self.steps % _FADE == 0:
             self.f0 -= self.f0 >> 1
@@ -89,14 +97,13 @@ class _Model:
 
 
 def _due(low: np.ndarray, width: np.ndarray) -> np.ndarray | None:
-    """Which blocks have a word to pass on, None for none; where a carry might still change it, the width is cut so that it can't."""
-    settled, narrow = (low ^ (low + width)) < _TOP, width < _BOT
-    due = settled | narrow
+    """Which blocks must pass a word on, None for none; where a carry might still change it, the width is cut so that it can't."""
+    due = width < _BOT
     if not due.any():
         return None
-    narrow &= ~settled
-    if narrow.any():
-        width[narrow] = (~low[narrow] + np.uint64(1)) & (_BOT - np.uint64(1))
+    loose = due & ((low ^ (low + width)) >= _TOP)
+    if loose.any():
+        width[loose] = (~low[loose] + np.uint64(1)) & (_BOT - np.uint64(1))
     return due
 
 
@@ -175,11 +182,11 @@ def _halves(wide: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _encode(ids: np.ndarray, block: int) -> list[bytes]:
     n = -(-len(ids) // block)
-    grid = np.zeros((n, block), np.int64)
+    large = len(ids) > 0 and int(ids.max()) >= 1 << 16
+    grid = np.zeros((n, block), np.int64 if large else np.int32)
     grid.ravel()[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.T)
     short = len(ids) - (n - 1) * block
-    large = len(ids) and int(ids.max()) >= 1 << 16
     model, writer = _Model(n), _Writer(n)
     for t in range(min(block, len(ids))):
         x, (f, cum) = grid[t], model.look()
@@ -242,7 +249,9 @@ def _decode(coded: list[bytes], total_ids: int, block: int) -> np.ndarray:
         x = np.where(bits > 0, (_BASE[out] + place).astype(np.int64), x)
         if t >= short:
             x[-1] = 0
-            out[-1] = model.outcome(x)[-1]
+        again = model.outcome(x)
+        if t >= short:
+            out[-1] = again[-1]
         grid[t] = x
         model.update(x, out)
     return np.ascontiguousarray(grid.T).ravel()[:total_ids]
@@ -296,8 +305,9 @@ def in_order(docs: DataFrame, key: str, text: str, file_bytes: int) -> DataFrame
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """``ids`` with ``end`` after each document's."""
-    out = np.full(len(ids) + len(sizes), end, np.uint32)
-    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    out, own = np.empty(len(ids) + len(sizes), np.uint32), np.ones(len(ids) + len(sizes), bool)
+    own[np.cumsum(sizes + 1) - 1] = False
+    out[own], out[~own] = ids, end
     return out
 
 
