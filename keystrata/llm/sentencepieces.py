@@ -90,7 +90,7 @@ class Lattices:
         """(begin, end, piece, weight) of all pieces in the chunks between the offsets, as byte places; piece -1 spells a character that is no piece in bytes."""
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
         stop = np.append(lead[1:], len(raw))
-        room = off[np.searchsorted(off, lead, "right")] - lead
+        room = np.repeat(off[1:], np.diff(off))[lead] - lead
         grown, left, found = _Strings(raw, lead), np.arange(len(lead)), []
         alone = np.zeros(len(lead), bool)
         for size in range(1, self.most + 1):
@@ -125,11 +125,11 @@ class Lattices:
         cut = (inside == 0) & large
         cut[off[:-1][np.diff(off) > 0]] = True
         off = np.append(np.flatnonzero(cut), len(raw))
-        chunk = np.searchsorted(off, begin, "right") - 1
-        deep = end - off[chunk]
+        home = np.repeat(off[:-1], np.diff(off))[begin]
+        deep = end - home
         # alpha of a place inside a chunk is at its number; a chunk's start is 1 and has no number of its own
         alpha, chance = np.zeros(len(raw) + 1), np.zeros(len(begin))
-        starts = begin == off[chunk]
+        starts = begin == home
         by = np.argsort(deep, kind="stable")
         edges = np.searchsorted(deep[by], np.arange(1, (int(deep.max()) if len(deep) else 0) + 2))
         for j in range(len(edges) - 1):
@@ -145,11 +145,14 @@ class Lattices:
             if len(low) and j >= self.most:  # only ratios of the last few places matter
                 for k in range(self.most):
                     alpha[to[first[low]] - k] *= 1e110
-        first = np.searchsorted(end, np.arange(len(raw) + 2))
-        nth = np.arange(len(end)) - first[end]
-        for k in range(1, int(nth.max()) + 1 if len(nth) else 0):
-            e = np.flatnonzero(nth == k)
+        first = np.concatenate(([0], np.cumsum(np.bincount(end, minlength=len(raw) + 1))))
+        many = np.diff(first)
+        places, k = np.flatnonzero(many > 1), 1
+        while len(places):
+            e = first[places] + k
             chance[e] += chance[e - 1]
+            k += 1
+            places = places[many[places] > k]
         return begin, end, piece, chance, first, off
 
     def sample(self, raw: np.ndarray, at: np.ndarray, keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +182,8 @@ class Lattices:
         many = np.diff(low)[index]
         which = ragged(low[:-1][index], many)
         owner = np.repeat(np.searchsorted(at, begin, "right") - 1, many)
-        nth = np.arange(len(which)) - np.searchsorted(owner, owner)
+        of_text = np.bincount(owner, minlength=len(sizes))
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(of_text) - of_text, of_text)
         state = _mix(_mix(keys[owner] + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) + nth.astype(np.uint64))
         place, home, live = part[which + 1], part[which], np.arange(len(which))
         drawn_for, drawn = [], []

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -367,6 +368,40 @@ def test_samples_follow_the_lattice():
         assert abs(seen[pieces] - n * p) < 5 * math.sqrt(n * p * (1 - p)) + 2
 
 
+def test_draws_do_not_depend_on_the_rest_of_a_batch(spark):
+    model = sentencepieces.Lattices(PIECES)
+    texts = [r["text"] or "" for r in documents(spark).select("text").collect()] + ["的一是不了人我在有他" * 40, "thereforewehave" * 30, "a" * 500, "漢字 and 漢字" * 20]
+    raw = [t.encode() for t in texts]
+    keys = np.arange(len(raw), dtype=np.uint64)
+    draw = lambda a, b: model.sample(np.frombuffer(b"".join(raw[a:b]), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw[a:b]]))).astype(np.int64), keys[a:b])
+    whole, n = draw(0, len(raw))
+    for step in (1, 7):
+        parts = [draw(a, min(a + step, len(raw))) for a in range(0, len(raw), step)]
+        assert (np.concatenate([p[0] for p in parts]) == whole).all() and (np.concatenate([p[1] for p in parts]) == n).all()
+
+
+def test_a_long_text_without_spaces_takes_bounded_time():
+    model, rng = sentencepieces.Lattices(PIECES), np.random.default_rng(3)
+    raw = np.frombuffer("".join(rng.choice(list("的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年"), 1_700_000)).encode(), np.uint8)
+    began = time.process_time()
+    ids, n = model.sample(raw, np.array([0, len(raw)]), np.array([1], np.uint64))
+    assert time.process_time() - began < 30 and (model.decode(ids, n)[0] == raw).all()
+
+
+def test_parted_chunks_keep_the_lattices_chances():
+    """Parts of a long chunk are drawn as the whole would be: the pieces of one character recur as often."""
+    model = sentencepieces.Lattices(PIECES)
+    text = (" there" * 3).replace(" ", "的").encode()  # 的 is in no longer piece, so it parts the chunk
+    counts = {}
+    for long in (1, 1 << 30):
+        sentencepieces.LONG = long
+        ids, n = model.sample(np.frombuffer(text * 4000, np.uint8), np.arange(4001) * len(text), np.arange(4000, dtype=np.uint64))
+        counts[long] = np.bincount(ids, minlength=32_000)
+    sentencepieces.LONG = 64
+    a, b = counts.values()
+    assert (np.abs(a - b) <= 5 * np.sqrt(a + b) + 2).all()
+
+
 # 5
 
 
