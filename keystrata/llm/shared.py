@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Folders that this process has named.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder's path below ``spark.checkpoint.dir``, which every executor shares; a local master may do without and gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,7 +32,8 @@ def scratch(spark: SparkSession, what: str) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/keystrata/{what}-{uuid.uuid4().hex}"
+    _MADE.append(f"{root.rstrip('/')}/keystrata/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 @contextmanager
@@ -57,13 +62,36 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _name(folder: str) -> str:
+    """A scratch folder's last part, which no other folder has."""
+    return folder.rstrip("/").rpartition("/")[2]
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    return {_name(f.rpartition("/")[0]) for f in df.inputFiles()}
+
+
+def _delete(spark: SparkSession, names: set[str]) -> None:
+    """Deletes those of the named folders that ``scratch`` has named, and nothing else."""
+    for folder in [f for f in _MADE if _name(f) in names]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _MADE.remove(folder)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes the folders of ``stored`` tables that no plan reads any more."""
+    """Deletes the folders of ``stored`` tables that no plan reads any more; other tables stay."""
     for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/keystrata/" in folder:
-                place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-                place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(df.sparkSession, _read_by(df))
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what ``scratch`` names meanwhile, but the folders that the yielded list's tables read then: for when a result is written and the rest is no longer needed."""
+    before, keep = set(_MADE), []
+    yield keep
+    held = set().union(*map(_read_by, keep))
+    _delete(spark, {_name(f) for f in _MADE if f not in before} - held)
 
 
 class Sieve:

@@ -60,3 +60,20 @@ def test_run_and_registration(spark):
     assert all(any(re.match(rf"op{n}_", q) for q in queries) for n in range(1, 11)) and "pipeline" in queries
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() <= 200 and out.where(F.col("text") == "").count() == 0
+
+
+def test_a_run_leaves_its_result_and_others_tables_alone(spark, folder):
+    from keystrata.llm import shared
+
+    before = set(shared._MADE)
+    out = corpus_pipeline.run(spark, SF)
+    left = [f for f in shared._MADE if f not in before]
+    assert len(left) == 1 and out.count() > 0 and spark.read.parquet(f"{SF}/documents.parquet").count() == 200
+    with shared.swept(spark) as keep:
+        first, second = stored(spark.range(3), "a"), stored(spark.range(4), "b")
+        keep.append(second)
+    assert second.count() == 4
+    spark.range(2).write.parquet(f"{folder}/keystrata/mine")  # a folder of the user's own, whatever its name
+    shared.discard(spark.read.parquet(f"{folder}/keystrata/mine"))
+    assert spark.read.parquet(f"{folder}/keystrata/mine").count() == 2
+    assert not [f for f in shared._MADE if "/a-" in f and f not in before]
