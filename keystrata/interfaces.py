@@ -20,7 +20,7 @@ from keystrata.kv import KVStore, kv_command, parse_command
 from keystrata.operators import log, merge
 from keystrata.plans import statements as S
 from keystrata.protocol import Client, Server, http_server
-from keystrata.queries import _LATEST, _VERSIONS, _frame, folder, mutations, session
+from keystrata.queries import _VERSIONS, _frame, folder, mutations, session
 from keystrata.session import Session
 from keystrata.sources import codec, wal
 
