@@ -28,7 +28,7 @@ MAGIC, HEADER = b"KSTK", "<4sIIIQ"  # magic, documents, block size, blocks, ids
 BLOCK, IN_STEP = 1024, 4096
 #: Text bytes of a segment and of a file, about.
 SEGMENT_BYTES, FILE_BYTES = 20 << 20, 20 << 20
-_SLOTS, _OUT, _STEP, _FADE = 512, 10, 24, 256
+_SLOTS, _OUT, _STEP, _FADE = 512, 10, np.uint16(24), 256
 #: Smallest id of each size class after the three predictions, and the bits of an id's place in it.
 _BASE = np.array([0, 0, 0, 0, 512, 2048, 8192, 16384, 32768, 65536], np.uint64)
 _BITS = np.array([0, 0, 0, 9, 11, 13, 13, 14, 15, 32], np.uint64)
@@ -56,12 +56,12 @@ class _Model:
     def look(self) -> tuple[np.ndarray, np.ndarray]:
         """Frequencies of the outcomes (outcome, block) and their sums up to each; all are below 2**16."""
         spread = self.last * np.uint32(40503)  # the low bits alone matter
-        self.s1 = self.rows + ((spread >> np.uint32(4)) & np.uint32(_SLOTS - 1))
-        self.s2 = self.rows + (((spread + self.before * np.uint32(30011)) >> np.uint32(3)) & np.uint32(_SLOTS - 1))
-        self.e1, self.e2 = self.slot1[self.s1], self.slot2[self.s2]
+        self.s1 = (self.rows + ((spread >> np.uint32(4)) & np.uint32(_SLOTS - 1))).astype(np.intp)
+        self.s2 = (self.rows + (((spread + self.before * np.uint32(30011)) >> np.uint32(3)) & np.uint32(_SLOTS - 1))).astype(np.intp)
+        self.e1, self.e2 = self.slot1.take(self.s1), self.slot2.take(self.s2)
         self.g1, self.g2 = self.e1 >> 3, self.e2 >> 3
         self.conf1, self.conf2 = self.e1 & 7, self.e2 & 7
-        self.k = self.row16 + (np.minimum(self.conf1, 3) | np.minimum(self.conf2, 3) << 2)
+        self.k = (self.row16 + (np.minimum(self.conf1, 3) | np.minimum(self.conf2, 3) << 2)).astype(np.intp)
         f = self.f12.take(self.k, axis=1)
         f += self.f0
         cum = np.empty_like(f)
@@ -71,7 +71,7 @@ class _Model:
         return f, cum
 
     def outcome(self, ids: np.ndarray) -> np.ndarray:
-        out = _CLASS[np.minimum(ids, 65536)]
+        out = _CLASS.take(np.minimum(ids, 65536))
         self.right0, self.right1, self.right2 = ids == self.p0, ids == self.g1, ids == self.g2
         out[self.right0] = 2
         out[self.right1] = 1
@@ -80,13 +80,13 @@ class _Model:
 
     def update(self, ids: np.ndarray, out: np.ndarray) -> None:
         """Takes in ids, whose ``outcome`` was asked for before."""
-        self.f0.ravel()[out * self.n + self.row] += _STEP
-        self.f12.ravel()[out * (16 * self.n) + self.k] += _STEP
+        np.add.at(self.f0.ravel(), out * self.n + self.row, _STEP)
+        np.add.at(self.f12.ravel(), out * (16 * self.n) + self.k, _STEP)
         kept = (np.minimum(ids, _NONE) << 3).astype(np.int32)
         for slots, at, e, conf, right in ((self.slot1, self.s1, self.e1, self.conf1, self.right1), (self.slot2, self.s2, self.e2, self.conf2, self.right2)):
             # confidence rises with a hit, halves with a miss; the lowest gives way
-            slots[at] = np.where(right | (conf > 1), e + _CHANGE[conf + right * np.int32(8)], kept)
-        self.c0 += _UP[self.right0.view(np.uint8)]
+            slots[at] = np.where(right | (conf > 1), e + _CHANGE.take(conf + right * np.int32(8)), kept)
+        self.c0 += np.where(self.right0, _UP[1], _UP[0])
         gone = np.flatnonzero(self.c0 < 0)
         self.p0[gone], self.c0[gone] = np.minimum(ids[gone], _NONE), 1
         self.before, self.last = self.last, ids.astype(np.uint32)
@@ -164,7 +164,7 @@ class _Reader:
         place = np.minimum((self.code - self.low) // self.width, (np.uint64(1) << bits) - np.uint64(1))
         self.low += place * self.width
         while (due := _due(self.low, self.width)) is not None:
-            word = self.flat[np.minimum(self.at, self.most)]  # damaged bytes may ask for more
+            word = self.flat.take(np.minimum(self.at, self.most))  # damaged bytes may ask for more
             shift = due * _WORD
             self.code <<= shift
             self.code |= word * due.astype(np.uint64)
@@ -192,9 +192,9 @@ def _encode(ids: np.ndarray, block: int) -> list[bytes]:
         x, (f, cum) = grid[t], model.look()
         out = model.outcome(x)
         at = out * n + model.row
-        freq = f.ravel()[at].astype(np.uint64)
-        low, total, bits = cum.ravel()[at] - freq, cum[-1].astype(np.uint64), _BITS[out]
-        place = x.astype(np.uint64) - _BASE[out]
+        freq = f.ravel().take(at).astype(np.uint64)
+        low, total, bits = cum.ravel().take(at) - freq, cum[-1].astype(np.uint64), _BITS.take(out)
+        place = x.astype(np.uint64) - _BASE.take(out)
         place *= bits > 0
         if t >= short:
             low[-1], freq[-1], total[-1], bits[-1], place[-1] = 0, 1, 1, 0, 0
@@ -231,8 +231,8 @@ def _decode(coded: list[bytes], total_ids: int, block: int) -> np.ndarray:
             out += row <= value
         out = out.astype(np.int64)
         at = out * n + model.row
-        freq = f.ravel()[at].astype(np.uint64)
-        low, bits = cum.ravel()[at] - freq, _BITS[out]
+        freq = f.ravel().take(at).astype(np.uint64)
+        low, bits = cum.ravel().take(at) - freq, _BITS.take(out)
         if t >= short:
             low[-1], freq[-1], bits[-1] = 0, 1, 0
         x = np.where(out == 0, model.g2, np.where(out == 1, model.g1, model.p0))
@@ -246,7 +246,7 @@ def _decode(coded: list[bytes], total_ids: int, block: int) -> np.ndarray:
                 place = np.where(wide, place << _WORD | half, place)
         else:
             place = reader.take(low, freq, bits)
-        x = np.where(bits > 0, (_BASE[out] + place).astype(np.int64), x)
+        x = np.where(bits > 0, (_BASE.take(out) + place).astype(np.int64), x)
         if t >= short:
             x[-1] = 0
         again = model.outcome(x)
