@@ -24,7 +24,7 @@ from keystrata.llm.shared import buffers, folder, scratch, setting, slices, stor
 from keystrata.llm.token_files import with_end
 
 #: Text bytes encoded at a time.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 #: Partition columns of what ``write_flat_tokens`` writes.
 IDS, NAMES = "kind=ids", "kind=names"
 

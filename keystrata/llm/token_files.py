@@ -27,7 +27,7 @@ MAGIC, HEADER = b"KSTK", "<4sIIIQ"  # magic, documents, block size, blocks, ids
 #: Ids of a block; blocks coded in step, so that their tables fit a core's cache.
 BLOCK, IN_STEP = 1024, 4096
 #: Text bytes of a segment and of a file, about.
-SEGMENT_BYTES, FILE_BYTES = 20 << 20, 20 << 20
+SEGMENT_BYTES, FILE_BYTES = 16 << 20, 16 << 20
 _SLOTS, _OUT, _STEP, _FADE = 512, 10, np.uint16(24), 256
 #: Smallest id of each size class after the three predictions, and the bits of an id's place in it.
 _BASE = np.array([0, 0, 0, 0, 512, 2048, 8192, 16384, 32768, 65536], np.uint64)
