@@ -1,4 +1,6 @@
-"""DuckDB SQL for the corpus queries that SQL can express: sharding, WARC and decontamination."""
+"""DuckDB SQL for the corpus queries that SQL can express."""
+
+from keystrata.llm.oracle_hash import xxh64
 
 #: The reflected polynomial of CRC-32, the multiplier and scale of the jump.
 _CRC_TABLE = "list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n::uinteger, range(0, 8)::uinteger[]), lambda c, i: if(c & 1 = 1, xor(3988292384::uinteger, c >> 1), c >> 1)))"
@@ -96,3 +98,23 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS sco
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+#: Words, 4-word shingles, their XXH64 and the majority of each bit; fingerprints at 4 or fewer differing bits, closed over steps.
+SIMHASH = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+g AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM d
+),
+x AS (SELECT s, hex(encode(s)) AS x, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM g)),
+k AS MATERIALIZED (SELECT s, {xxh64("x", "n")} AS h FROM x),
+h AS (SELECT doc_id, h FROM g JOIN k USING (s)),
+f AS (SELECT doc_id, {" + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))} AS fp FROM h GROUP BY doc_id),
+p AS MATERIALIZED (SELECT d.doc_id, coalesce(f.fp, 0::UBIGINT) AS fp FROM d LEFT JOIN f USING (doc_id)),
+u AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM p GROUP BY fp),
+e AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM u a JOIN u b ON bit_count(xor(a.fp, b.fp)) <= 4),
+r AS (SELECT fp AS fp, fp AS near FROM u UNION SELECT r.fp, e.b FROM r JOIN e ON e.a = r.near),
+c AS (SELECT r.fp, min(u.least) AS component_id FROM r JOIN u ON u.fp = r.near GROUP BY r.fp)
+SELECT p.doc_id, lower(lpad(hex(p.fp), 16, '0')) AS fingerprint, c.component_id FROM p JOIN c USING (fp)
+"""

@@ -21,5 +21,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_warc": oracles.WARC, "op7_sharding": oracles.SHARDING, "op9_decontamination": oracles.DECONTAMINATION, "op10_ann": oracles.NEAREST,
+        "op1_simhash": oracles.SIMHASH, "op2_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_warc": oracles.WARC, "op7_sharding": oracles.SHARDING, "op9_decontamination": oracles.DECONTAMINATION, "op10_ann": oracles.NEAREST,
     }
