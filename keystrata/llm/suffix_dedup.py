@@ -18,6 +18,7 @@ Codes are 64-bit hashes; a decision always rests on at least 80 bits (a bucket's
 Pairs travel packed, a block of arrays a row, one bucket in a task; within a batch equal pairs are settled
 before the shuffle, so a passage that a third of all documents hold costs a bucket one entry a batch. A seed that
 a batch holds in very many contexts is not paired at all: its stretches go to round 2 at once, where each has a code of its own.
+The seed itself is sent to its bucket, which passes the stretches that other batches found for it on to round 2, too, so all of them meet there.
 
 A row is known by its key, and where keys repeat or are null also by the 64-bit hash of its text, so such rows are told apart and spread.
 
@@ -183,8 +184,8 @@ def _recurs(seed: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 _BUCKET = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _SCHEMA = "bucket int, kind int, blob binary"
-#: Kinds of blobs: pairs to be ranked; settled stretches; stretches to be ranked in the next round.
-PAIRS, SETTLED, OPEN = 0, 1, 2
+#: Kinds of blobs: pairs to be ranked; settled stretches; stretches to be ranked in the next round; seeds of which a batch did not pair its stretches.
+PAIRS, SETTLED, OPEN, UNPAIRED = 0, 1, 2, 3
 
 
 def _by_bucket(bucket: np.ndarray, kind: int, doc, tag, start, more, *codes) -> Iterator[tuple[int, int, bytes]]:
@@ -252,6 +253,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
             found += _by_bucket(_home(who[common], what[common], blocks), OPEN, who[common], what[common], start[common], more[common])
             left &= ~common
             bucket = ((seed >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
+            one = edges[many]
+            found += _by_bucket(bucket[one], UNPAIRED, who[one], what[one], start[one], more[one], seed[one].astype("<u4"))
             narrow = np.ascontiguousarray(context[left]).view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel()
             found += _by_bucket(bucket[left], PAIRS, who[left], what[left], start[left], more[left], seed[left].astype("<u4"), narrow, ahead[left], sides[left])
             return _rows(found)
@@ -282,6 +285,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
 
     def settle_seeds(table: pa.Table) -> pa.Table:
         blobs, found = passed(table)
+        unpaired = _unblob([r[2] for r in found if r[1] == UNPAIRED], ("<u4",))[-1]
+        found = [r for r in found if r[1] != UNPAIRED]
         doc, tag, start, more, seed, narrow, ahead, sides = _unblob(blobs, ("<u4", "V6", "u1", "<u4"))
         if len(doc):
             wide = np.zeros((len(narrow), 8), np.uint8)
@@ -296,7 +301,9 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
             mixed = np.repeat(np.add.reduceat(by_context.astype(np.int64), edges) > 1, size)
             settled = shared & (doc > _least(by_context, doc))
             found += _by_bucket(_home(doc[settled], tag[settled], blocks), SETTLED, doc[settled], tag[settled], start[settled], more[settled])
-            rest = np.flatnonzero(shared & mixed & ~settled)
+            whole = np.isin(seed, unpaired) & ~settled  # their partners are in round 2
+            found += _by_bucket(_home(doc[whole], tag[whole], blocks), OPEN, doc[whole], tag[whole], start[whole], more[whole])
+            rest = np.flatnonzero(shared & mixed & ~settled & ~whole)
             doc, tag, start, more, seed, sides = doc[rest], tag[rest], start[rest], more[rest], seed[rest], sides[rest]
             middle = start + ahead[rest] - SIDE  # stretches from here on hold the bytes after the seed, those before it the ones ahead of it
             for side, low, high in ((sides >> 16, start, np.minimum(start + more, middle - 1)), (sides & 0xFFFF, np.maximum(start, middle), start + more)):
