@@ -3,9 +3,12 @@
 A file is a row of segments, a segment holds whole documents: a directory (keys, lengths), then blocks
 of BLOCK ids. Every block starts from a fresh model, so all blocks of a segment are coded in lock-step,
 an id of each at a time. The model of a block predicts an id by the last successor of the two ids before
-(order 2), of the id before (order 1) and by the block's commonest id so far (order 0). An outcome says which
+(order 2), of the id before (order 1) and by an id that recurs whatever is before (order 0). An outcome says which
 prediction holds or else in which size class the id lies; its frequencies mix, by adding counts, the outcomes seen so far
 and those seen at the confidences that the order-1 and order-2 predictions have now.
+
+The counts of the eight outcomes are 16-bit lanes of two little-endian 64-bit integers and sum to less than 2**15, so one multiplication
+sums them up and one subtraction compares all sums with a value. The coder passes on words of 32 bits and carries into those passed on before.
 """
 
 from __future__ import annotations
@@ -23,238 +26,232 @@ from pyspark.sql.window import Window
 from keystrata.llm.bpe import encoder
 from keystrata.llm.shared import buffers, read_flat, scratch, slices, stored, tidied, write_flat
 
-MAGIC, HEADER = b"KSTK", "<4sIIIQ"  # magic, documents, block size, blocks, ids
-#: Ids of a block; blocks coded in step, so that their tables fit a core's cache.
-BLOCK, IN_STEP = 1024, 4096
+MAGIC, HEADER = b"KST2", "<4sIIIQ"  # magic, documents, block size, blocks, ids
+#: Ids of a block; blocks coded in step at most, and steps whose ids are turned from rows of blocks to rows of steps at once.
+BLOCK, IN_STEP, TILE = 1024, 8192, 16
 #: Text bytes of a segment and of a file, about.
 SEGMENT_BYTES, FILE_BYTES = 16 << 20, 16 << 20
-_SLOTS, _OUT, _STEP, _FADE = 512, 10, np.uint16(24), 256
-#: Smallest id of each size class after the three predictions, and the bits of an id's place in it.
-_BASE = np.array([0, 0, 0, 0, 512, 2048, 8192, 16384, 32768, 65536], np.uint64)
-_BITS = np.array([0, 0, 0, 9, 11, 13, 13, 14, 15, 32], np.uint64)
-_CLASS = (np.searchsorted(_BASE[4:].astype(np.int64), np.arange(65537), "right") + 3).astype(np.int64)
+_SLOTS, _OUT, _STEP, _FADE = 512, 8, np.uint16(24), 256
+#: Smallest id of each size class after the three predictions, and the bits of an id's place in it; the last class is for ids from _LARGE on.
+_BASE = np.array([0, 0, 0, 0, 512, 2560, 10752, 0], np.uint32)
+_BITS = np.array([0, 0, 0, 9, 11, 13, 16, 32], np.uint64)
+_LARGE = 10752 + 65536
+_CLASS = np.append(np.searchsorted(_BASE[4:7], np.arange(_LARGE, dtype=np.uint32), "right") + 3, 7).astype(np.uint8)
 #: What a slot that predicts nothing holds; larger ids are never predicted.
-_NONE = (1 << 28) - 1
-#: What a miss and a hit change a confidence of 0 to 7 by; a miss and a hit of the commonest id.
-_CHANGE = np.array([0, -1, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0], np.int32)
-_UP = np.array([-1, 1], np.int32)
-_TOP, _BOT, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
+_NONE = np.uint32((1 << 30) - 1)
+#: What a multiplication by sums each lane and those below up; the lanes' highest bits.
+_SUMS, _HIGH = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
+_WORD, _HALF, _BOT = np.uint64(32), np.uint64(16), np.uint64(1 << 32)
 
 
 class _Model:
-    """The predictions and outcome counts of each of n blocks. A slot packs the predicted id and, in three bits, the confidence in it."""
+    """The predictions and outcome counts of each of n blocks. A slot packs the predicted id and, in two bits, the confidence in it."""
 
     def __init__(self, n: int):
-        self.row, self.n = np.arange(n), n
-        self.row16 = np.arange(n, dtype=np.int32) * 16
-        self.rows = np.arange(n, dtype=np.uint32) * np.uint32(_SLOTS)
-        self.slot1, self.slot2 = (np.full(n * _SLOTS, _NONE << 3, np.int32) for _ in range(2))
-        self.p0, self.c0 = np.full(n, _NONE, np.int32), np.zeros(n, np.int32)
-        self.f0, self.f12 = np.ones((_OUT, n), np.uint16), np.zeros((_OUT, n * 16), np.uint16)
+        self.n, self.lane = n, np.arange(n) * _OUT
+        self.row16 = np.arange(n, dtype=np.uint32) * np.uint32(16)
+        self.rows = (np.arange(2 * n, dtype=np.uint32) * np.uint32(_SLOTS)).reshape(2, n)
+        self.slots = np.full(2 * n * _SLOTS, _NONE << np.uint32(2), np.uint32)  # those of order 1, then those of order 2
+        self.slot0 = np.full(n, _NONE << np.uint32(2), np.uint32)
+        self.f0, self.f12 = np.full((n, 2), _SUMS, np.uint64), np.zeros((n * 16, 2), np.uint64)
+        self.lanes0, self.lanes12 = self.f0.view(np.uint16).ravel(), self.f12.view(np.uint16).ravel()
         self.last, self.before, self.steps = np.zeros(n, np.uint32), np.zeros(n, np.uint32), 0
 
-    def look(self) -> tuple[np.ndarray, np.ndarray]:
-        """Frequencies of the outcomes (outcome, block) and their sums up to each; all are below 2**16."""
-        spread = self.last * np.uint32(40503)  # the low bits alone matter
-        self.s1 = (self.rows + ((spread >> np.uint32(4)) & np.uint32(_SLOTS - 1))).astype(np.intp)
-        self.s2 = (self.rows + (((spread + self.before * np.uint32(30011)) >> np.uint32(3)) & np.uint32(_SLOTS - 1))).astype(np.intp)
-        self.e1, self.e2 = self.slot1.take(self.s1), self.slot2.take(self.s2)
-        self.g1, self.g2 = self.e1 >> 3, self.e2 >> 3
-        self.conf1, self.conf2 = self.e1 & 7, self.e2 & 7
-        self.k = (self.row16 + (np.minimum(self.conf1, 3) | np.minimum(self.conf2, 3) << 2)).astype(np.intp)
-        f = self.f12.take(self.k, axis=1)
+    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Frequencies of the outcomes in lanes (block, 2), their sums up to each, and the totals."""
+        at, spread = np.empty((2, self.n), np.uint32), self.last * np.uint32(40503)  # the low bits alone matter
+        np.right_shift(spread, np.uint32(4), out=at[0])
+        spread += self.before * np.uint32(30011)
+        np.right_shift(spread, np.uint32(3), out=at[1])
+        at &= np.uint32(_SLOTS - 1)
+        at += self.rows
+        self.at = at.astype(np.intp)
+        self.slot = np.empty((3, self.n), np.uint32)
+        self.slot[0] = self.slot0
+        self.slots.take(self.at, out=self.slot[1:], mode="clip")
+        self.guess, self.conf = self.slot >> np.uint32(2), self.slot & np.uint32(3)
+        self.k = (self.row16 + (self.conf[1] | self.conf[2] << np.uint32(2))).astype(np.intp)
+        f = self.f12.take(self.k, axis=0)
         f += self.f0
-        cum = np.empty_like(f)
-        cum[0] = f[0]
-        for i in range(1, _OUT):
-            np.add(cum[i - 1], f[i], out=cum[i])
-        return f, cum
-
-    def outcome(self, ids: np.ndarray) -> np.ndarray:
-        out = _CLASS.take(np.minimum(ids, 65536))
-        self.right0, self.right1, self.right2 = ids == self.p0, ids == self.g1, ids == self.g2
-        out[self.right0] = 2
-        out[self.right1] = 1
-        out[self.right2] = 0
-        return out
-
-    def update(self, ids: np.ndarray, out: np.ndarray) -> None:
-        """Takes in ids, whose ``outcome`` was asked for before."""
-        np.add.at(self.f0.ravel(), out * self.n + self.row, _STEP)
-        np.add.at(self.f12.ravel(), out * (16 * self.n) + self.k, _STEP)
-        kept = (np.minimum(ids, _NONE) << 3).astype(np.int32)
-        for slots, at, e, conf, right in ((self.slot1, self.s1, self.e1, self.conf1, self.right1), (self.slot2, self.s2, self.e2, self.conf2, self.right2)):
-            # confidence rises with a hit, halves with a miss; the lowest gives way
-            slots[at] = np.where(right | (conf > 1), e + _CHANGE.take(conf + right * np.int32(8)), kept)
-        self.c0 += np.where(self.right0, _UP[1], _UP[0])
-        gone = np.flatnonzero(self.c0 < 0)
-        self.p0[gone], self.c0[gone] = np.minimum(ids[gone], _NONE), 1
-        self.before, self.last = self.last, ids.astype(np.uint32)
+        cum = f * _SUMS
+        cum[:, 1] += (cum[:, 0] >> np.uint64(48)) * _SUMS
+        return f, cum, cum[:, 1] >> np.uint64(48)
+
+    def update(self, ids: np.ndarray, right: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+        """Takes in ids, which predictions are right and the outcomes, which are lanes ``at``, after a ``look``."""
+        np.add.at(self.lanes0, at, _STEP)
+        np.add.at(self.lanes12, self.k * _OUT + out, _STEP)
+        kept = np.minimum(ids, _NONE) << np.uint32(2)
+        # confidence rises by 1 with a hit, to 3, and falls by 2 with a miss; what is below 2 gives way
+        new = np.where(right, self.conf < np.uint32(3), np.uint32(0xFFFFFFFE))
+        new += self.slot
+        new = np.where(right | (self.conf > np.uint32(1)), new, kept)
+        self.slot0, self.slots[self.at] = new[0], new[1:]  # orders 0, 1 and 2 lie one after the other
+        self.before, self.last = self.last, ids
         self.steps += 1
         if self.steps % _FADE == 0:
-            self.f0 -= self.f0 >> 1
-            self.f12 >>= 1
+            self.lanes0 -= self.lanes0 >> 1
+            self.lanes12 >>= 1
 
 
-def _due(low: np.ndarray, width: np.ndarray) -> np.ndarray | None:
-    """Which blocks must pass a word on, None for none; where a carry might still change it, the width is cut so that it can't."""
-    due = width < _BOT
-    if not due.any():
-        return None
-    loose = due & ((low ^ (low + width)) >= _TOP)
-    if loose.any():
-        width[loose] = (~low[loose] + np.uint64(1)) & (_BOT - np.uint64(1))
-    return due
+def _part(f: np.ndarray, cum: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the outcomes in lanes ``at`` begin, and their frequencies."""
+    freq = f.view(np.uint16).ravel().take(at).astype(np.uint64)
+    return cum.view(np.uint16).ravel().take(at) - freq, freq
 
 
 class _Writer:
-    """Words of all blocks, step by step; a mask says whose each is."""
+    """Words of n blocks, ``most`` of each at most."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, most: int):
         self.low, self.width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.words: list[np.ndarray] = []
-        self.due: list[np.ndarray] = []
+        self.n, self.words, self.at = n, np.zeros(most * n, "<u4"), np.arange(n)  # the blocks' first words, their second ones, ...
 
     def put(self, cum: np.ndarray, freq: np.ndarray, total: np.ndarray, place: np.ndarray, bits: np.ndarray) -> None:
-        """Codes the part [cum, cum + freq) of total (below 2**16) and ``bits`` (0 to 16) even bits in it; (0, 1, 1) without bits changes nothing."""
+        """Codes the part [cum, cum + freq) of total (below 2**15) and ``bits`` (0 to 16) even bits in it; (0, 1, 1) without bits changes nothing.
+        ``cum`` and ``place`` are used up."""
         self.width //= total
-        self.low += cum * self.width
+        cum *= self.width
         self.width *= freq
         self.width >>= bits
-        self.low += place * self.width
-        while (due := _due(self.low, self.width)) is not None:
-            self._pass_on(due)
-
-    def _pass_on(self, due: np.ndarray) -> None:
-        self.words.append((self.low >> np.uint64(48)).astype("<u2"))
-        self.due.append(due)
-        shift = due * _WORD
-        self.low <<= shift
-        self.width <<= shift
+        place *= self.width
+        cum += place
+        self.low += cum
+        over = np.flatnonzero(self.low < cum)
+        if len(over):
+            at = self.at[over] - self.n
+            while len(at):  # a word that overflows carries into the one before; the first never does
+                self.words[at] += np.uint32(1)
+                at = at[self.words[at] == 0] - self.n
+        due = np.flatnonzero(self.width < _BOT)
+        self._pass_on(due)
+        self.width[due] <<= _WORD
+
+    def _pass_on(self, due: np.ndarray | slice) -> None:
+        low, at = self.low[due], self.at[due]
+        self.words[at] = low >> _WORD
+        self.at[due] = at + self.n
+        self.low[due] = low << _WORD
 
     def end(self) -> list[bytes]:
-        for _ in range(4):
-            self._pass_on(np.ones(len(self.low), bool))
-        due = np.ascontiguousarray(np.stack(self.due).T)
-        flat, stop = np.ascontiguousarray(np.stack(self.words).T)[due].tobytes(), 2 * np.cumsum(due.sum(axis=1))
-        return [flat[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+        for _ in range(2):
+            self._pass_on(slice(None))
+        sizes = self.at // self.n
+        most = int(sizes.max())
+        raw = memoryview(np.ascontiguousarray(self.words[: most * self.n].reshape(most, self.n).T).ravel()).cast("B")
+        return [bytes(raw[4 * i * most : 4 * (i * most + size)]) for i, size in enumerate(sizes.tolist())]
 
 
 class _Reader:
     def __init__(self, coded: list[bytes]):
-        n, most = len(coded), max(map(len, coded)) // 2 + 8
-        words = np.zeros((n, most), "<u2")
+        n, most = len(coded), max(map(len, coded)) // 4 + 2
+        words = np.zeros((n, most), "<u4")
         for row, b in zip(words, coded, strict=True):
-            row[: len(b) // 2] = np.frombuffer(b, "<u2")
-        self.flat, self.most = words.ravel(), np.arange(1, n + 1) * most - 1
-        self.low, self.width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.code, self.at = np.zeros(n, np.uint64), np.arange(n) * most + 4
-        for k in range(4):
-            self.code = self.code << _WORD | words[:, k].astype(np.uint64)
+            row[: len(b) // 4] = np.frombuffer(b, "<u4", len(b) // 4)
+        self.n, self.words = n, np.ascontiguousarray(words.T).ravel()
+        self.at = np.arange(n) + 2 * n
+        self.width = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.off = self.words[:n].astype(np.uint64) << _WORD | self.words[n : 2 * n]  # from the part's begin
 
     def value(self, total: np.ndarray) -> np.ndarray:
         self.width //= total
-        return np.minimum((self.code - self.low) // self.width, total - np.uint64(1))
+        return np.minimum(self.off // self.width, total - np.uint64(1))
 
     def take(self, cum: np.ndarray, freq: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """The even bits in the part [cum, cum + freq) of ``value``'s total."""
-        self.low += cum * self.width
+        self.off -= cum * self.width
         self.width *= freq
         self.width >>= bits
-        place = np.minimum((self.code - self.low) // self.width, (np.uint64(1) << bits) - np.uint64(1))
-        self.low += place * self.width
-        while (due := _due(self.low, self.width)) is not None:
-            word = self.flat.take(np.minimum(self.at, self.most))  # damaged bytes may ask for more
-            shift = due * _WORD
-            self.code <<= shift
-            self.code |= word * due.astype(np.uint64)
-            self.at += due
-            self.low <<= shift
-            self.width <<= shift
+        place = np.minimum(self.off // self.width, (np.uint64(1) << bits) - np.uint64(1))
+        self.off -= place * self.width
+        due = np.flatnonzero(self.width < _BOT)
+        at = self.at[due]
+        self.off[due] = self.off[due] << _WORD | self.words.take(at, mode="clip")  # damaged bytes may ask for more
+        self.at[due] = at + self.n
+        self.width[due] <<= _WORD
         return place
 
 
 def _halves(wide: np.ndarray) -> tuple[np.ndarray, ...]:
     """What codes 16 even bits where ``wide`` and nothing elsewhere, without the bits' values."""
     one = np.ones(len(wide), np.uint64)
-    return np.zeros(len(wide), np.uint64), one, one, np.where(wide, _WORD, np.uint64(0))
+    return np.zeros(len(wide), np.uint64), one, one, wide * _HALF
+
+
+def _rows(n: int, block: int) -> np.ndarray:
+    """Room for n blocks of ids, in rows that do not all begin at the same place of a page."""
+    return np.zeros((n, -(-block // TILE) * TILE + TILE), np.uint32)
 
 
 def _encode(ids: np.ndarray, block: int) -> list[bytes]:
-    n = -(-len(ids) // block)
-    large = len(ids) > 0 and int(ids.max()) >= 1 << 16
-    grid = np.zeros((n, block), np.int64 if large else np.int32)
-    grid.ravel()[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.T)
-    short = len(ids) - (n - 1) * block
-    model, writer = _Model(n), _Writer(n)
-    for t in range(min(block, len(ids))):
-        x, (f, cum) = grid[t], model.look()
-        out = model.outcome(x)
-        at = out * n + model.row
-        freq = f.ravel().take(at).astype(np.uint64)
-        low, total, bits = cum.ravel().take(at) - freq, cum[-1].astype(np.uint64), _BITS.take(out)
-        place = x.astype(np.uint64) - _BASE.take(out)
-        place *= bits > 0
-        if t >= short:
-            low[-1], freq[-1], total[-1], bits[-1], place[-1] = 0, 1, 1, 0, 0
-        if large and (wide := bits > 16).any():
-            writer.put(low, freq, total, np.where(wide, np.uint64(0), place), np.where(wide, np.uint64(0), bits))
-            for half in (place >> _WORD, place & np.uint64(0xFFFF)):
+    n, steps = -(-len(ids) // block), min(block, len(ids))
+    whole, large = len(ids) // block, int(ids.max()) >= _LARGE
+    grid = _rows(n, block)
+    grid[:whole, :block] = ids[: whole * block].reshape(whole, block)
+    grid[whole:, : len(ids) - whole * block] = ids[whole * block :]
+    model, writer = _Model(n), _Writer(n, steps * (3 if large else 1) + 4)
+    for t in range(steps):
+        if t % TILE == 0:
+            tile = np.ascontiguousarray(grid[:, t : t + TILE].T)
+            outs = _CLASS.take(np.minimum(tile, np.uint32(_LARGE)))
+            places = tile - _BASE.take(outs)
+        x, out, (f, cum, total) = tile[t % TILE], outs[t % TILE], model.look()
+        right = model.guess == x
+        for order in range(3):
+            np.copyto(out, 2 - order, where=right[order])
+        at = model.lane + out
+        low, freq = _part(f, cum, at)
+        bits, place = _BITS.take(out), places[t % TILE] * (out > 2).astype(np.uint64)
+        if large and (wide := bits > _HALF).any():
+            writer.put(low, freq, total, place * ~wide, bits * ~wide)
+            for half in (place >> _HALF, place & np.uint64(0xFFFF)):
                 none, one, all_, sixteen = _halves(wide)
-                writer.put(none, one, all_, np.where(wide, half, np.uint64(0)), sixteen)
+                writer.put(none, one, all_, half * wide, sixteen)
         else:
             writer.put(low, freq, total, place, bits)
-        model.update(x, out)
+        model.update(x, right, out, at)
     return writer.end()
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Each run of ``block`` ids coded on its own. Only the last can be short: it goes on with steps of id 0 that code nothing."""
+    """Each run of ``block`` ids coded on its own. Only the last can be short: it is filled up with the id 0 to the others' length."""
     step = IN_STEP * block
     return [b for at in range(0, len(ids), step) for b in _encode(ids[at : at + step], block)]
 
 
 def _decode(coded: list[bytes], total_ids: int, block: int) -> np.ndarray:
-    n = len(coded)
-    short = total_ids - (n - 1) * block
-    grid = np.zeros((block, n), np.uint32)
+    n, steps = len(coded), min(block, total_ids)
+    grid, tile = _rows(n, block), np.zeros((TILE, n), np.uint32)
     model, reader = _Model(n), _Reader(coded)
-    for t in range(min(block, total_ids)):
-        f, cum = model.look()
-        total = cum[-1].astype(np.uint64)
-        if t >= short:
-            total[-1] = 1
-        value = reader.value(total).astype(np.uint16)
-        out = np.zeros(n, np.uint8)
-        for row in cum[:-1]:
-            out += row <= value
-        out = out.astype(np.int64)
-        at = out * n + model.row
-        freq = f.ravel().take(at).astype(np.uint64)
-        low, bits = cum.ravel().take(at) - freq, _BITS.take(out)
-        if t >= short:
-            low[-1], freq[-1], bits[-1] = 0, 1, 0
-        x = np.where(out == 0, model.g2, np.where(out == 1, model.g1, model.p0))
-        wide = bits > 16
+    for t in range(steps):
+        f, cum, total = model.look()
+        value = reader.value(total)
+        value *= _SUMS
+        value |= _HIGH
+        passed = value[:, None] - cum
+        passed &= _HIGH
+        out = np.bitwise_count(passed[:, 0] | passed[:, 1] >> np.uint64(1)).astype(np.intp)
+        at = model.lane + out
+        low, freq = _part(f, cum, at)
+        bits = _BITS.take(out)
+        wide = bits > _HALF
         if wide.any():
-            place = reader.take(low, freq, np.where(wide, np.uint64(0), bits))
+            place = reader.take(low, freq, bits * ~wide)
             for _ in range(2):
                 none, one, all_, sixteen = _halves(wide)
                 reader.value(all_)
                 half = reader.take(none, one, sixteen)
-                place = np.where(wide, place << _WORD | half, place)
+                place = np.where(wide, place << _HALF | half, place)
         else:
             place = reader.take(low, freq, bits)
-        x = np.where(bits > 0, (_BASE.take(out) + place).astype(np.int64), x)
-        if t >= short:
-            x[-1] = 0
-        again = model.outcome(x)
-        if t >= short:
-            out[-1] = again[-1]
-        grid[t] = x
-        model.update(x, out)
-    return np.ascontiguousarray(grid.T).ravel()[:total_ids]
+        x = tile[t % TILE]
+        np.add(place.astype(np.uint32), _BASE.take(out), out=x)
+        for order in range(3):
+            np.copyto(x, model.guess[order], where=out == 2 - order)
+        model.update(x.copy(), model.guess == x, out, at)
+        if t % TILE == TILE - 1 or t == steps - 1:
+            grid[:, t - t % TILE : t - t % TILE + TILE] = tile.T
+    return np.ascontiguousarray(grid[:, :block]).ravel()[:total_ids]
 
 
 def decode_blocks(coded: list[bytes], total_ids: int, block: int = BLOCK) -> np.ndarray:
